@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, langid, licenses
+from millrace.llm import bpe, chat, embeddings, jaccard, langid, licenses
 from millrace.shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,6 +18,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(rows.unionByName(hard))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -30,8 +34,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.evaluate(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    named = [op3_chat_format, op5_license_scan, op6_bpe_roundtrip, op7_language_id]
+    named = [op3_chat_format, op4_jaccard_join, op5_license_scan, op6_bpe_roundtrip, op7_language_id, op9_embedding_near_dedup]
     return {f.__name__: f for f in named}
 
 
