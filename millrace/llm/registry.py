@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, embeddings, jaccard, langid, licenses
+from millrace.llm import bpe, chat, embeddings, jaccard, langid, licenses, lines, secrets
 from millrace.shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "'</s>[INST] ok [/INST]'"
@@ -34,14 +38,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.evaluate(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    named = [op3_chat_format, op4_jaccard_join, op5_license_scan, op6_bpe_roundtrip, op7_language_id, op9_embedding_near_dedup]
+    named = [op1_line_dedup, op3_chat_format, op4_jaccard_join, op5_license_scan, op6_bpe_roundtrip, op7_language_id, op8_secret_scan, op9_embedding_near_dedup]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict:
-    return {"op3_chat_format": chat.SQL}
+    return {"op1_line_dedup": lines.SQL, "op3_chat_format": chat.SQL}
