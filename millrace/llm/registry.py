@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, embeddings, jaccard, langid, licenses, lines, secrets
+from millrace.llm import bpe, chat, decontaminate, embeddings, jaccard, langid, licenses, lines, quality, secrets
 from millrace.shared import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -15,6 +16,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_good", "p_junk", "p_toxic", "site_good", "host_good", "kept")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "'</s>[INST] ok [/INST]'"
@@ -46,8 +52,16 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    named = [op1_line_dedup, op3_chat_format, op4_jaccard_join, op5_license_scan, op6_bpe_roundtrip, op7_language_id, op8_secret_scan, op9_embedding_near_dedup]
+    named = [op1_line_dedup, op2_quality, op3_chat_format, op4_jaccard_join, op5_license_scan, op6_bpe_roundtrip, op7_language_id, op8_secret_scan, op9_embedding_near_dedup, op10_decontaminate, pipeline]
     return {f.__name__: f for f in named}
 
 
