@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": lines.SQL, "op3_chat_format": chat.SQL}
+    return {"op1_line_dedup": lines.SQL, "op3_chat_format": chat.SQL, "op8_secret_scan": secrets.SQL}

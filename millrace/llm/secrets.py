@@ -132,3 +132,43 @@ def report(df: DataFrame) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(told(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
     )
+
+
+SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), patterns AS (
+  SELECT * FROM (VALUES
+    (0, 'assign', '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+    (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]{16,}'), (3, 'entropy', '[A-Za-z0-9+/_=-]{20,}')) AS p (rank, kind, pattern)
+), matched AS (
+  SELECT doc_id, rank, kind, regexp_extract_all(t, pattern) AS hits, regexp_extract_all(t, pattern, CASE WHEN rank = 0 THEN 2 ELSE 0 END) AS parts, string_split_regex(t, pattern) AS gaps
+  FROM texts, patterns WHERE regexp_matches(t, pattern)
+), placed AS (
+  SELECT doc_id, rank, kind, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM matched
+), sized AS (
+  SELECT doc_id, rank, kind, hit, part,
+    sum(length(gap)) OVER w + coalesce(sum(length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM placed WINDOW w AS (PARTITION BY doc_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING)
+), base AS (
+  SELECT doc_id, rank, kind, start, start + length(hit) AS stop FROM sized
+  WHERE rank = 0 AND length(part) >= 12 OR rank = 1 AND length(hit) >= 18 OR rank = 2 AND length(hit) >= 16
+), candidates AS (
+  SELECT *, regexp_full_match(hit, '[0-9a-fA-F]+') AS is_hex FROM sized
+  WHERE rank = 3 AND length(hit) >= 20 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND replace(hit, hit[1], '') <> ''
+    AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|sample|dummy|placeholder|changeme|redacted)|0123456789|(?i:abcdefghij)')
+), windows AS (
+  SELECT doc_id, rank, kind, start, list_filter(range(length(hit) - 19), lambda i:
+    list_aggregate(string_split(substr(CASE WHEN is_hex THEN lower(hit) ELSE hit END, CAST(i + 1 AS BIGINT), 20), ''), 'entropy') >= CASE WHEN is_hex THEN 2.8 ELSE 3.7 END) AS good
+  FROM candidates
+), spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT doc_id, rank, kind, start + good[1], start + good[-1] + 20 FROM windows WHERE len(good) > 0
+), told AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank, stop) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (doc_id)
+"""
