@@ -12,7 +12,8 @@ at least SHARE_NUM / SHARE_DEN (0.8). All links between different sets are found
 3. Short lists: every class gets, for each of its shingles, the list of not larger classes there; a
    heap merge of these sorted lists counts how often each candidate occurs.
    Long lists are skipped in the merge. They would only hold what a class shares with others in
-   nothing but long lists; such classes are compared with the list's most typical class first.
+   nothing but long lists; such classes are compared with the list's most typical class first. Two
+   of them are compared only if their sets, less the shingles that no other set has, can overlap enough.
 4. A parity bitmap of each set bounds the symmetric difference from below and drops candidates that
    can't reach the overlap. The rest are verified: the smaller set's shingles are probed in the
    larger set by binary search, and pairs that reach the required overlap become links.
@@ -147,8 +148,8 @@ def prepared(docs: DataFrame, long: np.ndarray, key: str, text: str, size: int)
 
 
 def _lists(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, n, cls. For each class of a list: the not larger classes there, sorted.
-    A list that turns out longer than `long` is passed on with its token instead."""
+    """Rows sorted by token, n, cls. For each class of a list: the not larger classes there, sorted
+    (none for the smallest). A list that turns out longer than `long` is passed on with its token instead."""
     token = n = cls = np.zeros(0, np.int64)
     passing = None  # a token whose list is long and not at its end
 
@@ -169,11 +170,10 @@ def _lists(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[pa.RecordBa
                 by.extend([int(token[a])] * len(c))
                 continue
             start = np.searchsorted(m, -(-SHARE_NUM * m // SHARE_DEN))
-            for i in range(1, len(c)):
-                if start[i] < i:
-                    own.append(int(c[i]))
-                    near.append(np.sort(c[start[i] : i]))
-                    by.append(None)
+            for i in range(len(c)):
+                own.append(int(c[i]))
+                near.append(np.sort(c[start[i] : i]))
+                by.append(None)
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(by, pa.int64())], names=["cls", "near", "token"])
 
@@ -221,6 +221,13 @@ def _similar_size(n: str, m: str) -> Column:
     return F.least(n, m) * SHARE_DEN >= F.greatest(n, m) * SHARE_NUM
 
 
+def _reachable(nx: str, ny: str, ux: str, uy: str) -> Column:
+    """The overlap, at most what either set has besides its u shingles that no other set has, can
+    reach the threshold."""
+    most = F.least(F.col(nx) - F.col(ux), F.col(ny) - F.col(uy))
+    return _similar_size(nx, ny) & (most * (SHARE_NUM + SHARE_DEN) >= (F.col(nx) + F.col(ny)) * SHARE_NUM)
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (x, y) that the bitmaps don't rule out."""
     mine = classes.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
@@ -281,18 +288,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # the smallest id of a class with its text's hash; ids come last if null
     classes = (
         rows.where("cls IS NOT NULL").groupBy("cls", "n")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("share").alias("share"), F.first("bits", ignorenulls=True).alias("bits"))
-        .select("cls", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "share", "bits")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("share").alias("share"), F.max("cold").alias("cold"), F.first("bits", ignorenulls=True).alias("bits"))
+        .select("cls", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "share", "cold", "bits")
     )
     classes = written(classes, "classes")
     postings = rows.where("prefix IS NOT NULL").select("cls", "n", "share", "cold", F.posexplode("prefix").alias("at", "token"))
     short = postings.where("at < cold").select("token", "n", "cls").repartition("token").sortWithinPartitions("token", "n", "cls")
     lists = written(short.mapInArrow(lambda it: _lists(it, long), "cls bigint, near array<bigint>, token bigint"), "lists")
-    candidates = written(lists.where("near IS NOT NULL").select("cls", "near").repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged, "x bigint, y bigint, times bigint, first boolean"), "candidates")
+    candidates = written(lists.where("size(near) > 0").select("cls", "near").repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged, "x bigint, y bigint, times bigint, first boolean"), "candidates")
     skipped = postings.where("at >= cold").select("token", "cls").unionByName(lists.where("token IS NOT NULL").select("token", "cls")).distinct()
-    skipped = written(skipped.join(classes.select("cls", "n", "share"), "cls"), "skipped")
-    typical = skipped.groupBy("token").agg(F.max(F.struct("share", F.negative("n").alias("n"), "cls")).alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("top.cls").alias("y"), (-F.col("top.n")).alias("ny"))
-    star = skipped.join(typical, "token").where((F.col("cls") != F.col("y")) & _similar_size("n", "ny")).select(F.col("cls").alias("x"), "y").distinct()
+    # u: how many of a class's shingles stand in no other class, as far as its prefix shows
+    met = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
+    alone = classes.join(met, "cls", "left").select("cls", "n", "share", (F.col("cold") - F.coalesce("met", F.lit(0))).alias("u"))
+    skipped = written(skipped.join(alone, "cls"), "skipped")
+    typical = skipped.groupBy("token").agg(F.max(F.struct("share", F.negative("u").alias("u"), F.negative("n").alias("n"), "cls")).alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("top.cls").alias("y"), (-F.col("top.n")).alias("ny"), (-F.col("top.u")).alias("uy"))
+    star = skipped.join(typical, "token").where((F.col("cls") != F.col("y")) & _reachable("n", "ny", "u", "uy")).select(F.col("cls").alias("x"), "y").distinct()
     begin = written(_bounded(candidates.where("first").select("x", "y").unionByName(star).distinct(), classes), "pairs")
     links = _verified(begin, docs, classes, key, text, size)
     root = written(components(links), "roots")
@@ -303,9 +313,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rest = rooted(rooted(candidates.where("NOT first").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry").select("x", "y")
     members = rooted(skipped, "cls", "r")
     split = members.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token")
-    apart = members.join(split, "token").select("token", "cls", "n", "r")
-    mine, other = (apart.select("token", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}")) for c in "xy")
-    across = mine.join(other, "token").where((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & _similar_size("nx", "ny")).select("x", "y")
+    apart = members.join(split, "token").select("token", "cls", "n", "u", "r")
+    mine, other = (apart.select("token", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("u").alias(f"u{c}"), F.col("r").alias(f"r{c}")) for c in "xy")
+    across = mine.join(other, "token").where((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & _reachable("nx", "ny", "ux", "uy")).select("x", "y")
     more = written(_bounded(rest.unionByName(across).distinct().join(begin, ["x", "y"], "left_anti"), classes), "pairs")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, docs, classes, key, text, size))
