@@ -10,13 +10,14 @@ anywhere are removed but for the first place (smallest doc_id, then position):
    collision never removes anything;
 3. the texts are put together again without the chunks found.
 
-Only hashes are shuffled for all documents in step 1. The texts are shuffled once, by document, for
-steps 2 and 3 (Spark reuses the exchange where both need the same columns).
+Only hashes are shuffled for all documents in step 1. The texts are shuffled by document for steps 2
+and 3, once if the table has no other columns (Spark reuses the exchange), else twice. These joins
+are merge joins at every size: what is to be removed grows with the corpus.
 
 Defined cases: a null text stays null; an empty text is one empty line and stays; single-line chunks
 are never removed; a text of which all chunks go becomes empty; rows with equal doc_id are one
 document (a chunk in each of them stays or goes alike), rows with a null doc_id come last, as one
-document; an empty table stays empty; other columns pass through, and n_lines and removed_lines
+document; doc_id 2^63 - 1 is reserved; an empty table stays empty; other columns pass through, and n_lines and removed_lines
 are replaced if they are there.
 """
 
@@ -80,7 +81,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     twice = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
     wanted = written(marks.join(twice, "mark").groupBy("_k", "_h").agg(F.collect_set("mark").alias("marks")), "marks")
 
-    looked = keyed.select("_k", "_h", text).join(wanted, ["_k", "_h"])
+    looked = keyed.select("_k", "_h", text).join(wanted.hint("merge"), ["_k", "_h"])
     found = F.filter(_multi(F.col(text), divisor), lambda c: F.array_contains("marks", c["mark"]))
     # equal chunks of one document come together: the places of each distinct one
     def places(chunks: Column) -> Column:
@@ -100,7 +101,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
     """docs with the text changed, and with n_lines (before) and removed_lines."""
     docs = unclashed(docs, ["n_lines", "removed_lines"])
     gone = repeated_chunks(docs, key, text, divisor)
-    joined = _keyed(docs, key, text).join(gone, ["_k", "_h"], "left")
+    keyed = _keyed(docs, key, text)
+    if set(docs.columns) == {key, text}:  # then step 2 has shuffled the same columns already
+        keyed = keyed.drop(key)
+    joined = keyed.join(gone.hint("merge"), ["_k", "_h"], "left")
+    if key not in keyed.columns:
+        joined = joined.withColumn(key, F.when(F.col("_k") != _LAST, F.col("_k")).cast(docs.schema[key].dataType))
 
     def rest(lines: Column) -> Column:
         tagged = lambda bounds: F.transform(bounds, lambda b, k: F.struct(b["start"].alias("start"), b["n"].alias("n"), F.array_contains("gone", k).alias("out")))
