@@ -31,6 +31,8 @@ from millrace.shared import written
 
 DIVISOR = 4
 _LAST = (1 << 63) - 1
+# names of columns that exist only within the operator
+_K, _H, _GONE, _R = "_millrace_id", "_millrace_hash", "_millrace_gone", "_millrace_rest"
 
 
 def let(value: Column, then) -> Column:
@@ -60,7 +62,7 @@ def chunk_texts(lines: Column, bounds: Column) -> Column:
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.withColumn("_k", F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST))).withColumn("_h", F.xxhash64(text))
+    return df.withColumn(_K, F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST))).withColumn(_H, F.xxhash64(text))
 
 
 def _multi(text: Column, divisor: int) -> Column:
@@ -75,13 +77,13 @@ def _multi(text: Column, divisor: int) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """_k, _h, gone: by document (id and hash of its text) the numbers of the chunks to remove."""
+    """By document (id and hash of its text) the numbers of the chunks to remove."""
     keyed = _keyed(docs.select(key, text), key, text)
-    marks = keyed.where(F.contains(text, F.lit("\n"))).select("_k", "_h", F.explode(F.transform(_multi(F.col(text), divisor), lambda c: c["mark"])).alias("mark"))
+    marks = keyed.where(F.contains(text, F.lit("\n"))).select(_K, _H, F.explode(F.transform(_multi(F.col(text), divisor), lambda c: c["mark"])).alias("mark"))
     twice = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    wanted = written(marks.join(twice, "mark").groupBy("_k", "_h").agg(F.collect_set("mark").alias("marks")), "marks")
+    wanted = written(marks.join(twice, "mark").groupBy(_K, _H).agg(F.collect_set("mark").alias("marks")), "marks")
 
-    looked = keyed.select("_k", "_h", text).join(wanted.hint("merge"), ["_k", "_h"])
+    looked = keyed.select(_K, _H, text).join(wanted.hint("merge"), [_K, _H])
     found = F.filter(_multi(F.col(text), divisor), lambda c: F.array_contains("marks", c["mark"]))
     # equal chunks of one document come together: the places of each distinct one
     def places(chunks: Column) -> Column:
@@ -91,10 +93,10 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", di
             F.transform(F.filter(chunks, lambda c: (c["mark"] == d["mark"]) & (c["part"] == d["part"])), lambda c: c["k"]).alias("ks"),
         ))
 
-    occurs = looked.select("_k", "_h", F.inline(let(found, places)))
-    first = occurs.groupBy("mark", "chunk").agg(F.min("_k").alias("keeper"), F.count(F.lit(1)).alias("docs"), F.max(F.size("ks")).alias("most")).where("docs > 1 OR most > 1")
-    drop = occurs.join(first, ["mark", "chunk"]).select("_k", "_h", F.when(F.col("_k") == F.col("keeper"), F.slice("ks", F.lit(2), F.greatest(F.size("ks") - 1, F.lit(0)))).otherwise(F.col("ks")).alias("ks"))
-    return drop.groupBy("_k", "_h").agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias("gone"))
+    occurs = looked.select(_K, _H, F.inline(let(found, places)))
+    first = occurs.groupBy("mark", "chunk").agg(F.min(_K).alias("keeper"), F.count(F.lit(1)).alias("docs"), F.max(F.size("ks")).alias("most")).where("docs > 1 OR most > 1")
+    drop = occurs.join(first, ["mark", "chunk"]).select(_K, _H, F.when(F.col(_K) == F.col("keeper"), F.slice("ks", F.lit(2), F.greatest(F.size("ks") - 1, F.lit(0)))).otherwise(F.col("ks")).alias("ks"))
+    return drop.groupBy(_K, _H).agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias(_GONE))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
@@ -104,22 +106,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", diviso
     keyed = _keyed(docs, key, text)
     if set(docs.columns) == {key, text}:  # then step 2 has shuffled the same columns already
         keyed = keyed.drop(key)
-    joined = keyed.join(gone.hint("merge"), ["_k", "_h"], "left")
+    joined = keyed.join(gone.hint("merge"), [_K, _H], "left")
     if key not in keyed.columns:
-        joined = joined.withColumn(key, F.when(F.col("_k") != _LAST, F.col("_k")).cast(docs.schema[key].dataType))
+        joined = joined.withColumn(key, F.when(F.col(_K) != _LAST, F.col(_K)).cast(docs.schema[key].dataType))
 
     def rest(lines: Column) -> Column:
-        tagged = lambda bounds: F.transform(bounds, lambda b, k: F.struct(b["start"].alias("start"), b["n"].alias("n"), F.array_contains("gone", k).alias("out")))
+        tagged = lambda bounds: F.transform(bounds, lambda b, k: F.struct(b["start"].alias("start"), b["n"].alias("n"), F.array_contains(_GONE, k).alias("out")))
         return let(chunk_bounds(lines, divisor), lambda bounds: let(tagged(bounds), lambda tags: F.struct(
             F.array_join(F.flatten(F.transform(F.filter(tags, lambda c: ~c["out"]), lambda c: F.slice(lines, c["start"] + 1, c["n"]))), "\n").alias("text"),
             F.aggregate(F.filter(tags, lambda c: c["out"]), F.lit(0), lambda s, c: s + c["n"]).alias("removed"),
         )))
 
-    some = F.coalesce(F.size("gone"), F.lit(0)) > 0
-    done = joined.withColumn("_r", F.when(some, let(F.split(text, "\n", -1), rest)))
-    own = [F.coalesce("_r.text", text).alias(c) if c == text else F.col(c) for c in docs.columns]
+    some = F.coalesce(F.size(_GONE), F.lit(0)) > 0
+    done = joined.withColumn(_R, F.when(some, let(F.split(text, "\n", -1), rest)))
+    own = [F.coalesce(f"{_R}.text", text).alias(c) if c == text else F.col(c) for c in docs.columns]
     n_lines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
-    return done.select(*own, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_r.removed", F.lit(0)).cast("long").alias("removed_lines"))
+    return done.select(*own, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(f"{_R}.removed", F.lit(0)).cast("long").alias("removed_lines"))
 
 
 SQL = """

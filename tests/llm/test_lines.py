@@ -30,10 +30,11 @@ def brute(rows):
 
 
 def run(spark, rows):
-    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, source string, N_LINES int").repartition(3)
+    df = spark.createDataFrame([(d, t, "x", 1, "own") for d, t in rows], "doc_id bigint, text string, source string, N_LINES int, gone string").repartition(3)
     got = lines.dedup_lines(df)
-    assert got.columns == ["doc_id", "text", "source", "n_lines", "removed_lines"]
+    assert got.columns == ["doc_id", "text", "source", "gone", "n_lines", "removed_lines"]
     got = got.collect()
+    assert all(r["gone"] == "own" for r in got)
     before = {d: t for d, t in rows}
     for r in got:
         if r["text"] is not None and r["doc_id"] is not None:
