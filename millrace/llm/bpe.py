@@ -14,8 +14,7 @@ output, which is replaced. Null ids decode to null.
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.batches import add_columns, pieces
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,86 +35,97 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes lists of words (bytes) by the ranks."""
+    """Encodes lists of words (bytes) by the ranks, all words at once."""
+
+    NONE = 1 << 40
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.spelled = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.merged: dict[tuple[int, int], int | None] = {}
-
-    def rank_of(self, left: int, right: int) -> int | None:
-        """The rank of the token that the pair merges to, or None."""
-        key = (left, right)
-        if key not in self.merged:
-            if len(self.merged) > 2_000_000:
-                self.merged.clear()
-            self.merged[key] = self.ranks.get(self.spelled[left] + self.spelled[right])
-        return self.merged[key]
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        symbol: list[int] = []
-        first: list[tuple[int, int]] = []
-        after: list[int] = []
-        before: list[int] = []
-        index: dict[int, list[int]] = defaultdict(list)
-        for k, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[k] = [whole]
-            elif not word:
-                out[k] = []
-            else:
-                at = len(symbol)
-                first.append((k, at))
-                symbol.extend(map(self.single.__getitem__, word))
-                before.append(-1)
-                before.extend(range(at, at + len(word) - 1))
-                after.extend(range(at + 1, at + len(word)))
-                after.append(-1)
-        for at, right in enumerate(after):
-            if right >= 0 and (rank := self.rank_of(symbol[at], symbol[right])) is not None:
-                index[rank].append(at)
-        queue = list(index)
-        heapify(queue)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # every way to cut a token into two tokens: the pairs that can merge, and to what
+        pairs = {(left << 20) | right: rank for token, rank in ranks.items() for i in range(1, len(token))
+                 if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.merge = np.array([pairs[x] for x in self.pair.tolist()], np.int64)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each pair merges to, or NONE."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.merge[at], self.NONE)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, packed as little-endian unsigned 32-bit integers."""
+        whole = [self.ranks.get(w) for w in words]
+        out = [b"" if rank is None else rank.to_bytes(4, "little") for rank in whole]
+        rest = [k for k, rank in enumerate(whole) if rank is None and words[k]]
+        if not rest:
+            return out
+        sizes = np.array([len(words[k]) for k in rest])
+        symbol = self.single[np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)]
+        word = np.repeat(np.arange(len(rest)), sizes)
+        ends = np.cumsum(sizes)
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        after[ends - 1] = before[ends - sizes] = -1
+        # the rank at which the symbol at a place merges with the next, and the index from rank to places
+        now = np.full(len(symbol), self.NONE)
+        has = np.flatnonzero(after >= 0)
+        now[has] = self.rank_of(symbol[has], symbol[has + 1])
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            fits = ranks < self.NONE
+            places, ranks = places[fits], ranks[fits]
+            if not len(places):
+                return
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cut = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1], True]).tolist()
+            for a, b in zip(cut, cut[1:]):
+                rank = int(ranks[a])
+                if rank in index:
+                    index[rank].append(places[a:b])
+                else:
+                    index[rank] = [places[a:b]]
+                    heappush(queue, rank)
+
+        enter(has, now[has])
         while queue:
             rank = heappop(queue)
-            places = sorted(index.pop(rank, ()))
-            for done, at in enumerate(places, 1):
-                right = after[at]
-                if symbol[at] < 0 or right < 0 or self.rank_of(symbol[at], symbol[right]) != rank:
-                    continue  # one side has been merged meanwhile
-                symbol[at], symbol[right] = rank, -1
-                beyond = after[at] = after[right]
-                lower = False
-                if beyond >= 0:
-                    before[beyond] = at
-                    lower |= self._enter(index, queue, at, symbol[at], symbol[beyond], rank)
-                if (left := before[at]) >= 0:
-                    lower |= self._enter(index, queue, left, symbol[left], rank, rank)
-                if lower and done < len(places):  # a pair that comes first has appeared: the rest waits
-                    if rank not in index:
-                        heappush(queue, rank)
-                    index[rank].extend(places[done:])
-                    break
-        for k, at in first:
-            ids = []
-            while at >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out[k] = ids
+            places = np.concatenate(index.pop(rank))
+            places = places[now[places] == rank]  # others have been merged meanwhile
+            if len(places) > 1:
+                places.sort()
+                # a word's first place only: its merge may bring a pair that comes before the others
+                first = np.r_[True, word[places[1:]] != word[places[:-1]]]
+                if not first.all():
+                    index[rank] = [places[~first]]
+                    heappush(queue, rank)
+                    places = places[first]
+            if not len(places):
+                continue
+            right = after[places]
+            beyond = after[right]
+            symbol[places], symbol[right] = rank, -1
+            after[places] = beyond
+            now[right] = now[places] = self.NONE
+            has = beyond >= 0
+            here, beyond = places[has], beyond[has]
+            before[beyond] = here
+            left = before[places]
+            left = left[left >= 0]
+            now[here] = self.rank_of(np.full(len(here), rank), symbol[beyond])
+            now[left] = self.rank_of(symbol[left], np.full(len(left), rank))
+            touched = np.concatenate([here, left])
+            enter(touched, now[touched])
+        live = symbol >= 0
+        packed = symbol[live].astype("<u4").tobytes()
+        stop = 4 * np.cumsum(np.bincount(word[live], minlength=len(rest)))
+        for k, a, b in zip(rest, [0, *stop.tolist()], stop.tolist()):
+            out[k] = packed[a:b]
         return out
 
-    def _enter(self, index: dict, queue: list, at: int, left: int, right: int, now: int) -> bool:
-        rank = self.rank_of(left, right)
-        if rank is None:
-            return False
-        if rank not in index:
-            heappush(queue, rank)
-        index[rank].append(at)
-        return rank <= now
-
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds out: the ids of the whole text, each packed as a little-endian unsigned 32-bit integer
@@ -131,14 +141,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
         def make(batch: pa.RecordBatch) -> list:
             texts = batch.column(text).to_pylist()
             packed: list[bytes] = []
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, 4_000_000):
                 split = [words_of(t) if t else [] for t in texts[a:b]]
                 fresh = [w for w in set().union(*split) if w not in known]
                 if len(known) + len(fresh) > CACHED_WORDS:
                     known.clear()
                     fresh = list(set().union(*split))
-                for w, ids in zip(fresh, replay.encode([w.encode() for w in fresh])):
-                    known[w] = np.array(ids, "<u4").tobytes()
+                known.update(zip(fresh, replay.encode([w.encode() for w in fresh])))
                 packed += [b"".join(map(known.__getitem__, ws)) for ws in split]
             return [pa.array(packed, pa.binary())]
 
