@@ -228,20 +228,24 @@ def _reachable(nx: str, ny: str, ux: str, uy: str) -> Column:
     return _similar_size(nx, ny) & (most * (SHARE_NUM + SHARE_DEN) >= (F.col(nx) + F.col(ny)) * SHARE_NUM)
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) that the bitmaps don't rule out."""
-    mine = classes.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    other = classes.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+def _near_enough(nx: str, ny: str, bx: str, by: str) -> Column:
+    """The bitmaps (the larger folded to the size of the smaller) don't rule the pair out: of both
+    sizes together at most (1 - t) / (1 + t) may differ."""
 
     def folded(a: str, b: str) -> Column:
         half = (F.size(a) / 2).cast("int")
         low, high = F.slice(a, F.lit(1), half), F.slice(a, half + 1, half)
         return F.when(F.size(a) > F.size(b), F.zip_with(low, high, lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(a))
 
-    apart = F.aggregate(F.zip_with(folded("bx", "by"), folded("by", "bx"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    total = F.col("nx") + F.col("ny")
-    # overlap >= t / (1 + t) * total, so at most (1 - t) / (1 + t) of total differs
-    return pairs.join(mine, "x").join(other, "y").where(_similar_size("nx", "ny") & (apart * (SHARE_NUM + SHARE_DEN) <= total * (SHARE_DEN - SHARE_NUM))).select("x", "y")
+    apart = F.aggregate(F.zip_with(folded(bx, by), folded(by, bx), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return apart * (SHARE_NUM + SHARE_DEN) <= (F.col(nx) + F.col(ny)) * (SHARE_DEN - SHARE_NUM)
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (x, y) that sizes and bitmaps don't rule out."""
+    mine = classes.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    other = classes.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    return pairs.join(mine, "x").join(other, "y").where(_similar_size("nx", "ny") & _near_enough("nx", "ny", "bx", "by")).select("x", "y")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -299,7 +303,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     skipped = postings.where("at >= cold").select("token", "cls").unionByName(lists.where("token IS NOT NULL").select("token", "cls")).distinct()
     # u: how many of a class's shingles stand in no other class, as far as its prefix shows
     met = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
-    alone = classes.join(met, "cls", "left").select("cls", "n", "share", (F.col("cold") - F.coalesce("met", F.lit(0))).alias("u"))
+    alone = classes.join(met, "cls", "left").select("cls", "n", "share", "bits", (F.col("cold") - F.coalesce("met", F.lit(0))).alias("u"))
     skipped = written(skipped.join(alone, "cls"), "skipped")
     typical = skipped.groupBy("token").agg(F.max(F.struct("share", F.negative("u").alias("u"), F.negative("n").alias("n"), "cls")).alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("top.cls").alias("y"), (-F.col("top.n")).alias("ny"), (-F.col("top.u")).alias("uy"))
     star = skipped.join(typical, "token").where((F.col("cls") != F.col("y")) & _reachable("n", "ny", "u", "uy")).select(F.col("cls").alias("x"), "y").distinct()
@@ -313,9 +317,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rest = rooted(rooted(candidates.where("NOT first").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry").select("x", "y")
     members = rooted(skipped, "cls", "r")
     split = members.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token")
-    apart = members.join(split, "token").select("token", "cls", "n", "u", "r")
-    mine, other = (apart.select("token", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("u").alias(f"u{c}"), F.col("r").alias(f"r{c}")) for c in "xy")
-    across = mine.join(other, "token").where((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & _reachable("nx", "ny", "ux", "uy")).select("x", "y")
+    apart = members.join(split, "token").select("token", "cls", "n", "u", "r", "bits")
+    mine, other = (apart.select("token", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("u").alias(f"u{c}"), F.col("bits").alias(f"b{c}"), F.col("r").alias(f"r{c}")) for c in "xy")
+    across = mine.join(other, "token").where((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & _reachable("nx", "ny", "ux", "uy") & _near_enough("nx", "ny", "bx", "by")).select("x", "y")
     more = written(_bounded(rest.unionByName(across).distinct().join(begin, ["x", "y"], "left_anti"), classes), "pairs")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, docs, classes, key, text, size))
@@ -333,6 +337,6 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Rows with equal doc_id and text are one document and stay or go together; rows without an id
     stay where no row of their group has one."""
     found = near_duplicates(docs.select(key, text), key, text)
-    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("th").alias("_h")).distinct()
-    marked = docs.withColumn("_k", F.coalesce(F.col(key).cast("bigint"), F.lit(-1))).withColumn("_h", F.xxhash64(text))
-    return marked.join(stay, ["_k", "_h"], "left_semi").select(*docs.columns)
+    stay = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("_millrace_id"), F.col("th").alias("_millrace_hash")).distinct()
+    marked = docs.withColumn("_millrace_id", F.coalesce(F.col(key).cast("bigint"), F.lit(-1))).withColumn("_millrace_hash", F.xxhash64(text))
+    return marked.join(stay, ["_millrace_id", "_millrace_hash"], "left_semi").select(*docs.columns)
