@@ -13,11 +13,13 @@ Terms are the words that the benchmark's items use: no other word can be part of
    drown the others.
 3. A second pass slides windows of the benchmark items' lengths (in classes) over each document; their
    latent vectors are differences of running sums. Windows with enough terms whose cosine with an
-   item of their class reaches COSINE are candidates; overlapping ones are joined.
-4. A candidate is verified by the longest common subsequence of words of the item and the joined
-   window: it is a leak with at least STRONG of the item's words in order, or with at least WEAK of
-   them if the item's answer stands in the window, word for word (paraphrases). The answer is the
-   item's answer column, or else its last sentence where that has ANSWER_WORDS words or more.
+   item of their class reaches COSINE are candidates; overlapping ones are joined. COSINE lies well below
+   sqrt(WEAK), what a window with WEAK of an item's energy has at best: precision is left to step 4.
+4. Each window of the item's length in a joined candidate is verified by the longest common
+   subsequence of words of the item and the window: it is a leak with at least STRONG of the item's
+   words in order, or with at least WEAK of them if the item's answer stands in the window, word for
+   word (paraphrases). Of overlapping leaks of an item the longest is reported. The answer is the
+   item's answer column, or else its last sentences, as many as have ANSWER_WORDS words or more.
 
 Benchmark items are collected in blocks of at most BLOCK items, each of which makes a pass of its own.
 
@@ -29,8 +31,9 @@ benchmark or no documents nothing is found; clashing columns are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +47,14 @@ from millrace.shared import written
 MAX_TERMS = 1 << 15
 RANK = 32
 PASSAGE = 64
-COSINE = 0.72
+COSINE = 0.3
 STRONG, WEAK = 0.7, 0.5
 ANSWER_WORDS = 3
 BLOCK = 4000
-STRIDES = 4
+STRIDES = 8
 CLASS = 1.4
+# words of a document times items that are looked at together
+_CELLS = 1 << 22
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -177,8 +182,11 @@ class Search:
     def __init__(self, items: list[tuple], known: dict[bytes, int], latent: np.ndarray, cosine: float = COSINE):
         self.latent, self.cosine = latent, cosine
         self.items = [(item, w, frozenset(w), answer_of(text, answer)) for item, text, answer in items if (w := words_of(text))]
+        self.sizes = np.array([len(w) for _, w, _, _ in self.items], np.int64)
+        self.bags = np.zeros((len(self.items), len(latent)), bool)
         by_size: dict[int, list[int]] = {}
         for i, (_, w, _, _) in enumerate(self.items):
+            self.bags[i, terms_of(w, known)] = True
             by_size.setdefault(round(np.log(len(w)) / np.log(CLASS)), []).append(i)
         self.groups = []
         for own in by_size.values():
@@ -187,7 +195,7 @@ class Search:
             vectors = unit(np.array([latent[terms_of(self.items[i][1], known)].sum(axis=0) for i in own]))
             # a leak has at least WEAK of an item's words, less what a stride may cut off
             least = int(WEAK * min(sizes) - max(1, size // STRIDES))
-            self.groups.append((size, max(1, size // STRIDES), max(1, least), own, np.ascontiguousarray(vectors.T, np.float32)))
+            self.groups.append((size, max(1, size // STRIDES), max(1, least), np.array(own), np.ascontiguousarray(vectors.T, np.float32)))
 
     def find(self, words: list[bytes], terms: np.ndarray) -> list[dict]:
         """Leaks in one document: item, first and end word of the window, overlap and whether the
@@ -209,50 +217,79 @@ class Search:
             windows = running[b[full]] - running[a[full]]
             norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
             score = windows @ vectors
-            w, i = np.divmod(np.flatnonzero(score >= self.cosine * np.maximum(norm, 1e-9)[:, None]), len(own))
-            if not len(w):
-                continue
-            order = np.lexsort((w, i))
+            hit = score >= self.cosine * np.maximum(norm, 1e-9)[:, None]
+            some = np.flatnonzero(hit.any(axis=0))
             spans: list[list] = []
-            for at, item in zip(full[w[order]].tolist(), i[order].tolist()):
-                lo, hi = int(start[at]), int(stop[at])
-                if spans and spans[-1][0] == item and lo <= spans[-1][2]:
-                    spans[-1][2] = hi
-                else:
-                    spans.append([item, lo, hi])
+            few = max(1, _CELLS // len(place))
+            for part in (some[k : k + few] for k in range(0, len(some), few)):
+                i, w = np.nonzero(hit[:, part].T)
+                w = full[w]
+                # candidates without a window nearby that has enough of the item's words are left out
+                sizes = self.sizes[own[part]]
+                enough = self.enough(own[part], terms[place], before, start, stride)
+                lo = np.maximum(start[w] - 2 * sizes[i] - stride, 0) // stride
+                hi = np.minimum((stop[w] + sizes[i]) // stride + 1, len(start))
+                kept = enough[i, hi] > enough[i, lo]
+                for at, item in zip(w[kept].tolist(), part[i[kept]].tolist()):
+                    more = len(self.items[own[item]][1]) // 2
+                    a, b = max(0, int(start[at]) - more), min(len(words), int(stop[at]) + more)
+                    if spans and spans[-1][0] == item and a <= spans[-1][2]:
+                        spans[-1][2] = b
+                    else:
+                        spans.append([item, a, b])
             for item, lo, hi in spans:
                 name, wanted, bag, answer = self.items[own[item]]
-                lo, hi = max(0, lo - len(wanted) // 2), min(len(words), hi + len(wanted) // 2)
-                # the words they share bound the common subsequence
-                if sum(map(bag.__contains__, words[lo:hi])) < WEAK * len(wanted) or len(bag.intersection(words[lo:hi])) < WEAK * len(bag) - (len(wanted) - len(bag)):
-                    continue
-                best = self.verified(wanted, answer, words, lo, hi)
-                if best:
-                    out.append({"item_id": name} | best)
+                out += [{"item_id": name} | leak for leak in self.verified(wanted, bag, answer, words, lo, hi)]
         return sorted(out, key=lambda x: (x["first_word"], x["end_word"], str(x["item_id"])))
 
-    def verified(self, wanted: list[bytes], answer: list[bytes], words: list[bytes], lo: int, hi: int) -> dict | None:
-        """The best window of about the item's length between lo and hi, if it is a leak."""
-        if common(wanted, words[lo:hi]) < WEAK * len(wanted):
-            return None
-        size, step, best = len(wanted) + len(wanted) // 4, max(1, len(wanted) // 8), None
-        for at in range(lo, max(lo + 1, hi - size + step), step):
-            part = words[at : min(hi, at + size)]
-            n = common(wanted, part)
-            if best is None or n > best[0]:
-                best = (n, at, at + len(part))
-        n, a, b = best
-        near = words[max(lo, a - step) : min(hi, b + step)]
-        answered = bool(answer) and any(near[i : i + len(answer)] == answer for i in range(len(near) - len(answer) + 1))
-        if n >= STRONG * len(wanted) or n >= WEAK * len(wanted) and answered:
-            return {"first_word": a, "end_word": b, "overlap": n / len(wanted), "answered": answered}
-        return None
+    def enough(self, items: np.ndarray, ids: np.ndarray, before: np.ndarray, start: np.ndarray, stride: int) -> np.ndarray:
+        """For each item, how many of the first starts have a window that could be a leak: any window
+        that verified looks at lies within that of the start before it."""
+        sizes = self.sizes[items][:, None]
+        inside = np.zeros((len(items), len(ids) + 1), np.int32)
+        np.cumsum(self.bags[items[:, None], ids], axis=1, out=inside[:, 1:])
+        stop = np.minimum(start + sizes + sizes // 4 + stride, len(before) - 1)
+        stop[:, -1] = len(before) - 1
+        shared = np.take_along_axis(inside, before[stop], axis=1) - inside[:, before[start]]
+        out = np.zeros((len(items), len(start) + 1), np.int32)
+        np.cumsum(shared >= WEAK * sizes, axis=1, out=out[:, 1:])
+        return out
+
+    def verified(self, wanted: list[bytes], bag: frozenset, answer: list[bytes], words: list[bytes], lo: int, hi: int) -> list[dict]:
+        """The windows of about the item's length between lo and hi that are leaks; of overlapping
+        ones the best."""
+        size, step, found = len(wanted) + len(wanted) // 4, max(1, len(wanted) // 8), []
+        # the words they share bound the common subsequence
+        shared = [0, *accumulate(map(bag.__contains__, words[lo:hi]))]
+        distinct = WEAK * len(wanted) - (len(wanted) - len(bag))
+        for a in range(lo, max(lo + 1, hi - size + step), step):
+            b = min(hi, a + size)
+            if shared[b - lo] - shared[a - lo] < WEAK * len(wanted) or len(bag.intersection(words[a:b])) < distinct:
+                continue
+            n = common(wanted, words[a:b])
+            if n < WEAK * len(wanted):
+                continue
+            near = words[max(lo, a - step) : min(hi, b + step)]
+            answered = bool(answer) and any(near[i : i + len(answer)] == answer for i in range(len(near) - len(answer) + 1))
+            if n >= STRONG * len(wanted) or answered:
+                found.append((n, a, b, answered))
+        best: list[dict] = []
+        taken: list[tuple] = []
+        for n, a, b, answered in sorted(found, key=lambda x: (-x[0], x[1])):
+            if all(b <= c or d <= a for c, d in taken):
+                best.append({"first_word": a, "end_word": b, "overlap": n / len(wanted), "answered": answered})
+                # only the words that the subsequence needs are taken: another copy may stand right beside it
+                end = bisect_left(range(b), n, lo=a, key=lambda x: common(wanted, words[a:x]))
+                taken.append((bisect_left(range(end), 1, lo=a, key=lambda x: common(wanted, words[x + 1 : end]) < n), end))
+        return best
 
 
 def answer_of(text: str, answer: str | None) -> list[bytes]:
     if answer:
         return words_of(answer)
-    last = words_of(re.split(r"[.!?]\s+", text.strip())[-1])
+    sentences, last = re.split(r"[.!?]\s+", text.strip()), []
+    while sentences and len(last) < ANSWER_WORDS:
+        last = words_of(sentences.pop()) + last
     return last if len(last) >= ANSWER_WORDS else []
 
 

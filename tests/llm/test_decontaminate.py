@@ -83,3 +83,38 @@ def test_singular_vectors_of_the_sketch():
     x = (a * idf) @ v.T / s
     y = a @ got
     assert np.allclose(d.unit(x) @ d.unit(x).T, d.unit(y) @ d.unit(y).T, atol=1e-2)
+
+
+def test_recall_at_production_parameters(spark):
+    rng = random.Random(8)
+    items = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    texts = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    corpus, planted, copies = [w for _, t in rng.sample(texts, 50) for w in t.split()], {}, []
+    for kept in (0.7, 0.6, 0.5):
+        for k, it in items * 2:
+            own = d.words_of(it)
+            answer = len(d.answer_of(it, None)) if kept < d.STRONG else 0
+            if kept < d.STRONG and not 0 < answer <= kept * len(own):
+                continue
+            words = [w.decode() for w in own]
+            for at in rng.sample(range(len(own) - answer), len(own) - int(np.ceil(kept * len(own)))):
+                words[at] = rng.choice(corpus)
+            body = rng.choice(texts)[1].split()
+            at = rng.randint(0, len(body))
+            copies.append((1_000_000 + len(copies), " ".join(body[:at] + words + body[at:])))
+            planted.setdefault(kept, set()).add((copies[-1][0], k))
+    docs = spark.createDataFrame(texts + copies, "doc_id bigint, text string").repartition(8)
+    got = {(r["doc_id"], r["item_id"]) for r in d.report(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert all(len(own) > 20 and len(own & got) >= 0.9 * len(own) for own in planted.values()), {k: (len(own & got), len(own)) for k, own in planted.items()}
+
+
+def test_every_copy_in_a_document_is_reported(spark):
+    item = "when did the old mill by the river stop turning its heavy stone wheel for the last time"
+    docs = spark.createDataFrame([(1, f"{item} and then once more {item}")], "doc_id bigint, text string")
+    found = d.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string"), cosine=-1.0).first()["leaks"]
+    assert [x["overlap"] for x in found] == [1.0, 1.0]
+
+
+def test_answer_of_short_last_sentences():
+    assert d.answer_of("What is it? It is a blue whale. Yes. Ok.", None) == d.words_of("It is a blue whale. Yes. Ok.")
+    assert d.answer_of("Yes. Ok.", None) == []
