@@ -3,7 +3,8 @@
 spark.dataSource.register(PgzSource); spark.read.format("pgz").option("table", t).load(path) with
 table members, bytes, files or lines. path is a file, a folder or a glob that the driver and the
 executors can open (a mounted path or a URI of pyarrow's file systems). Options: chunkSize
-(compressed bytes per task of a BGZF file, at least 64 KiB), mode (FAILFAST or PERMISSIVE), pushFilters
+(compressed bytes per task of a BGZF file, at least 64 KiB), mode (FAILFAST, or PERMISSIVE, which reads
+each file in one task: the members before its first invalid one count), pushFilters
 (true: equality on path picks files; needs spark.sql.python.filterPushdown.enabled). For
 stores that only Spark reads, use binaryFile with millrace.operators.members instead."""
 
@@ -29,8 +30,12 @@ class Range(InputPartition):
     path: str
     start: int
     stop: int
-    part: int
-    whole: bool
+    # members, rows and decoded bytes of the file before start
+    index: int = 0
+    seq: int = 0
+    offset: int = 0
+    # the same at stop, where ranges follow each other
+    end: tuple[int, int, int] | None = None
 
 
 def listed(path: str) -> list[str]:
@@ -51,25 +56,31 @@ def listed(path: str) -> list[str]:
 
 def ranges(path: str, chunk: int) -> list[Range]:
     """BGZF blocks, found by hopping over headers, in stretches of about chunk bytes; what follows the
-    first other member is one range, as is any other file."""
+    first other member is one range, as is any other file. Headers and lengths in trailers tell what
+    lies before each range."""
     out, at, start = [], 0, 0
+    now = first = (0, 0, 0)
     with opened(path) as f:
         size = f.size()
+        head = f.read_at(min(_HOP, size), 0)
         while at < size:
             try:
-                block = framing.header(f.read_at(min(_HOP, size - at), at))[2]
+                block = framing.header(head)[2]
             except framing.GzError:
                 block = None
-            if block is None or at + block > size:
+            if block is None or block < framing.HEADER + framing.TRAILER or at + block > size:
                 break
             if at > start and at + block - start > chunk:
-                out.append(Range(path, start, at, len(out), False))
-                start = at
+                out.append(Range(path, start, at, *first, now))
+                start, first = at, now
             at += block
+            tail = f.read_at(min(_HOP + 4, size - at + 4), at - 4)
+            raw, head = int.from_bytes(tail[:4], "little"), tail[4:]
+            now = (now[0] + 1, now[1] - (-raw // ROW), now[2] + raw)
     if at > start and at < size:
-        out.append(Range(path, start, at, len(out), False))
-        start = at
-    out.append(Range(path, start, size, len(out), not out))
+        out.append(Range(path, start, at, *first, now))
+        start, first = at, now
+    out.append(Range(path, start, size, *first, now if out and at == size else None))
     return out
 
 
@@ -84,7 +95,9 @@ class PgzReader(DataSourceReader):
     def partitions(self):
         files = [p for p in listed(self.path) if self.only is None or p == self.only]
         if self.table in ("files", "lines"):  # a file's kind is one row; lines run over blocks
-            return [Range(p, 0, -1, 0, True) for p in files]
+            return [Range(p, 0, -1) for p in files]
+        if self.permissive:  # nothing behind a file's first error counts, which other tasks can't know
+            return [Range(p, 0, -1) for p in files]
         return [r for p in files for r in ranges(p, self.chunk)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -94,25 +107,27 @@ class PgzReader(DataSourceReader):
             kinds = {r.start: r for r in ranges(part.path, LEAST_CHUNK)}
             yield _arrow([{"path": part.path, "length": len(data), "kind": _kind(part.path, len(data), kinds)}], schema)
             return
-        index = seq = offset = 0
+        index, seq, offset = part.index, part.seq, part.offset
         rest = b""
         try:
             for raw, row in framing.members(data):
                 if self.table == "members":
                     moved = {k: row[k] + part.start for k in ("header_offset", "body_offset", "trailer_offset")}
                     rows.append({"path": part.path, "member_index": index} | row | moved)
-                    index += 1
                 elif self.table == "lines":
                     *lines, rest = (rest + raw).split(b"\n")
                     rows += [{"path": part.path, "value": x.decode("utf-8", "replace")} for x in lines]
                 else:
                     for at in range(0, len(raw), ROW):
-                        # seq counts in the order of the file: the range first, then the row in it
-                        rows.append({"path": part.path, "seq": (part.part << 32) + seq, "raw_offset": offset, "bytes": raw[at : at + ROW]})
+                        rows.append({"path": part.path, "seq": seq, "raw_offset": offset, "bytes": raw[at : at + ROW]})
                         seq, offset = seq + 1, offset + len(raw[at : at + ROW])
+                index += 1
                 if len(rows) >= 512 or self.table == "bytes" and rows:
                     yield _arrow(rows, schema)
                     rows = []
+            counted = (index, seq, offset) if self.table == "bytes" else (index,)
+            if part.end is not None and counted != part.end[: len(counted)]:
+                raise ValueError(f"BGZF block sizes of {part.path} are not those of its members; mode PERMISSIVE reads the file in one task")
         except framing.GzError as why:
             if not self.permissive:
                 raise

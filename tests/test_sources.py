@@ -82,3 +82,31 @@ def test_stream(spark, folder):
     assert spark.table("arrived").count() == 30_000 + TEXT[:5000].count(b"\n") + 1 + 30_001
     again = members.decompressed(members.compressed(spark.createDataFrame([(b"x" * 10,), (b"",), (None,)], "raw binary"), "raw", "gz"), "gz", "back")
     assert all(r["raw"] == r["back"] for r in again.collect())
+
+
+def test_ranges_count_through_the_file(spark, tmp_path):
+    (tmp_path / "long.gz").write_bytes(framing.bgzf(TEXT * 2, 9000, 1) + framing.bgzf(TEXT, 9000, 1) + framing.compressed(b"tail\n"))
+    (tmp_path / "plain.gz").write_bytes(framing.compressed(TEXT[:1000]) + framing.compressed(b"") + framing.compressed(TEXT))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    for table, of in (("members", members.gz_members), ("bytes", members.gz_bytes)):
+        split, names = load(spark, tmp_path, table, chunkSize=65536), of(files).columns
+        assert split.rdd.getNumPartitions() > 3
+
+        def rows(df):  # binaryFile's paths are URIs
+            return sorted(tuple(r[c].rsplit("/", 1)[1] if c == "path" else r[c] for c in names) for r in df.na.fill(-1).na.fill("").collect())
+
+        assert rows(split) == rows(of(files))
+
+
+def test_nothing_behind_the_first_error(spark, tmp_path):
+    data = bytearray(framing.bgzf(TEXT * 3, 9000, 1))
+    ends = [r["trailer_offset"] for _, r in framing.members(bytes(data))]
+    assert ends[-1] > 2 * 65536
+    data[ends[2]] ^= 1
+    (tmp_path / "bad.gz").write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = load(spark, tmp_path, "members", mode="PERMISSIVE", chunkSize=65536).orderBy("member_index").collect()
+    assert [(r["member_index"], r["error"]) for r in got] == [(0, None), (1, None), (2, "CrcMismatch")]
+    assert whole(load(spark, tmp_path, "bytes", mode="PERMISSIVE", chunkSize=65536)) == whole(members.gz_bytes(files, "PERMISSIVE")) == {"bad.gz": TEXT[:18000]}
+    with pytest.raises(Exception, match="CrcMismatch"):
+        load(spark, tmp_path, "bytes", chunkSize=65536).collect()
