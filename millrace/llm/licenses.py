@@ -11,6 +11,8 @@ repeat; an empty table gives an empty table; clashing columns are replaced, othe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -90,13 +92,24 @@ class NoticeSearch:
                     at = line.find(part, at + 1)
             for a, b in _joined(windows):
                 # bytes as Latin-1 characters: places in the window are places in the line
-                for m in form.finditer(line[a:b].decode("latin-1")):
+                for m in _places(form, line[a:b].decode("latin-1")):
                     n = sum(m.fuzzy_counts)
                     found.append({"label": label, "first_word": line.count(b" ", 0, a + m.start()) - 1, "end_word": line.count(b" ", 0, a + m.end()),
                                   "edits": n, "likeness": 1 - n / len(notice), "matched": line[a + m.start() : a + m.end()].decode("utf-8", "replace")})
         return sorted(found, key=lambda x: (x["first_word"], x["label"], x["end_word"], x["edits"]))
 
 
+def _places(form: regex.Pattern, window: str) -> Iterator[regex.Match]:
+    """Matches that don't overlap: the best one, and as many again before and behind it. The spaces
+    around a match stay with the parts beside it."""
+    parts = [(0, len(window))]
+    while parts:
+        a, b = parts.pop()
+        if m := form.search(window, a, b):
+            yield m
+            parts += [(a, m.start()), (m.end(), b)]
+
+
 def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(windows):

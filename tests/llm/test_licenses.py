@@ -65,3 +65,12 @@ def test_seeds_cover_the_notice():
 
 def test_empty_table(spark):
     assert licenses.report(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_worse_places_beside_the_best_are_found():
+    search = licenses.NoticeSearch(licenses.PHRASES, licenses.NOTICES)
+    worse, best = "licensed under the mit licence", "licensed under the mit license"
+    for line in ([worse, best], [best, worse], [worse, best, worse], [worse, worse, best, worse, best]):
+        for between in (" ", " and it is "):
+            found = [f for f in search.fuzzy(f" {between.join(line)} too ".encode()) if f["matched"] in (worse, best)]
+            assert [f["matched"] for f in found] == line and [f["edits"] for f in found] == [x == worse for x in line]
