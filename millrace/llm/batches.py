@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -42,3 +43,16 @@ def pieces(texts: list, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def least_count(counted: DataFrame, most: int, n: str = "n") -> int | None:
+    """A count that at most `most` rows of counted reach: the smallest such, in steps of a quarter
+    of a power of two, of which the driver gets one row each. None if there is no such row."""
+    steps = counted.groupBy(F.floor(F.log2(n) * 4).alias("step")).agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("least")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in steps:
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["least"]
+    return least

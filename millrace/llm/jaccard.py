@@ -1,30 +1,39 @@
 """Operator 4: n-gram Jaccard self-join by T-occurrence search (DivideSkip).
 
-A document is the set of its distinct five-word shingles; two link when their Jaccard similarity is
-at least SHARE_NUM / SHARE_DEN (0.8). All links between different sets are found, exactly:
-
-1. Shingles that repeat within a task's documents are counted and summed; those with a long list (at
-   least LONG) come last in the order of shingles. The order only decides how much work is done:
-   any order gives the same links. Of the long ones at most MAX_LONG, the longest, are broadcast.
-2. Documents with equal sets form a class. Each class emits the first n - ceil(0.8 n) + 1 of its
-   shingles in that order; two sets that link share one of these (prefix principle). Lists of length
-   one are dropped as they stream by in sorted order.
-3. Short lists: every class gets, for each of its shingles, the list of not larger classes there; a
-   heap merge of these sorted lists counts how often each candidate occurs.
-   Long lists are skipped in the merge. They would only hold what a class shares with others in
-   nothing but long lists; such classes are compared with the list's most typical class first. Two
-   of them are compared only if their sets, less the shingles that no other set has, can overlap enough.
-4. A parity bitmap of each set bounds the symmetric difference from below and drops candidates that
-   can't reach the overlap. The rest are verified: the smaller set's shingles are probed in the
-   larger set by binary search, and pairs that reach the required overlap become links.
-5. Verification goes in two rounds: each class with its most frequent candidate and the typical
+A document is the set of its distinct five-word shingles; documents with equal sets form a class.
+Two classes link when their Jaccard similarity is at least SHARE_NUM / SHARE_DEN (0.8). A partner of
+a set of n shingles that is not larger shares at least T = ceil(0.8 n) of them, so it stands in T of the
+set's n inverted lists at least. All links between different sets are found, exactly:
+
+1. Shingles are counted to order them by the length of their lists, those of fewer than LONG sets
+   first. The order only decides how much work is done: any order gives the same links. At most
+   MAX_LONG of the long ones, the longest, are broadcast for it.
+2. Every set skips its L longest lists, L = T - K for a small K (spare). A partner then stands in at
+   least K = T - L of the n - L lists left, and the same holds the other way round: only these lists
+   are built.
+3. A heap merge of a set's short lists counts how often each candidate occurs. Lists that turn out
+   longer than LONG are skipped too: with s of a set's lists skipped on top, L grows by s, and
+   candidates with fewer than K - s occurrences are dropped.
+4. The candidates are probed in the skipped lists: whether a candidate stands in a shingle's list is
+   looked up by binary search for the shingle in the candidate's sorted set. Pairs that reach the
+   overlap become links.
+5. Only sets that skip K lists or more in step 3 can have a partner that no short list shows: those
+   of large groups of near copies. Each is compared with its list's most typical set first. What is
+   then still in different components is compared within its list in blocks of BLOCK by BLOCK, each a
+   unit of work of its own; sizes, the shingles that no other set has and a parity bitmap of each set
+   rule pairs out before any text is read.
+6. Verification goes in two rounds: each class with its most frequent candidate and the typical
    class of long lists first; then all other candidates that are not yet in one component. Pairs
    within a component can't change it, so they are never listed, however large the group is.
 
+Rows of a hot class or list are spread: copies are grouped by partial sums, list members are joined
+with their typical set by a salted key, and lists over LONG never come to one task.
+
 Defined cases: a null or empty text, or one of white space, has an empty set, links with nothing and
-is its own component; rows with equal doc_id are one document for the result's component_id (the
-smallest id reachable); a null doc_id counts as no id, and a component without any id has null; an
-empty table stays empty; other columns are ignored by the join.
+is its own component; a very long text is one set like any other; rows with equal doc_id are one
+document for the result's component_id (the smallest id reachable); a null doc_id counts as no id,
+and a component without any id has null; ties between candidates or typical sets are broken by the
+hash of the set and change no result; an empty table stays empty; other columns are ignored by the join.
 """
 
 from __future__ import annotations
@@ -39,25 +48,38 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import pieces
+from millrace.llm.batches import least_count, pieces
 from millrace.llm.components import components
 from millrace.llm.shingles import WordHashes, shingle_set
 from millrace.shared import drop_written, written
 
 SHARE_NUM, SHARE_DEN = 4, 5
 SIZE = 5
+SPARE = 8
 LONG = 48
 MAX_LONG = 1_000_000
+BLOCK = 2048
+SALTS = 32
 _FLUSH = 3_000_000
 
 
+def spare(n: int) -> int:
+    """K: how many of the lists that aren't skipped a partner must stand in."""
+    return max(1, min(SPARE, n // 16))
+
+
+def _spare(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(SPARE), F.floor(n / 16))).cast("int")
+
+
 def _repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     return found[n > 1].view(np.int64), n[n > 1]
 
 
-def long_shingles(texts: DataFrame, size: int = SIZE, long: int = LONG, most: int = MAX_LONG) -> np.ndarray:
-    """The shingles with long lists, ascending; at most `most` of them, those with the largest counts."""
+def long_shingles(texts: DataFrame, size: int = SIZE, long: int = LONG, most: int = MAX_LONG) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles with long lists, ascending, and the logarithm of their lengths; at most `most` of
+    them, those with the largest counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sets, seen, total = WordHashes(), [], set(), 0
@@ -82,16 +104,15 @@ def long_shingles(texts: DataFrame, size: int = SIZE, long: int = LONG, most: in
         yield flush()
 
     counted = written(texts.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= long), "long")
-    lengths = counted.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count(F.lit(1)).alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
-    total, least = 0, None
-    for r in lengths:  # few rows: one for each quarter of a power of two
-        total += r["tokens"]
-        if total > most:
-            break
-        least = r["least"]
-    tokens = counted.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy(np.int64) if least is not None else np.zeros(0, np.int64)
+    least = least_count(counted, most)
+    if least is None:
+        drop_written(counted)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    found = counted.where(F.col("n") >= least).select("token", F.floor(F.log2("n") * 2).cast("byte").alias("step")).toArrow()
     drop_written(counted)
-    return np.sort(tokens.view(np.uint64))
+    tokens = found["token"].to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], found["step"].to_numpy().astype(np.uint8)[order]
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -101,14 +122,14 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def prepared(docs: DataFrame, long: np.ndarray, key: str, text: str, size: int) -> DataFrame:
-    """doc_id, th (hash of the text), cls (null for an empty set), n, prefix (null where the task has
-    emitted the class before), cold (how many of the prefix are not long), share (of long ones in
-    the set) and bits."""
+def prepared(docs: DataFrame, long: tuple[np.ndarray, np.ndarray], key: str, text: str, size: int) -> DataFrame:
+    """doc_id, th (hash of the text), cls (null for an empty set), n, and, where the task meets the
+    class for the first time, prefix (the shingles whose lists aren't skipped, shortest lists first),
+    cold (how many of them are not known to be long), share (of long ones in the set) and bits."""
     spread = docs.sparkSession.sparkContext.broadcast(long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, long = WordHashes(), set(), spread.value
+        hashes, seen, (long, step) = WordHashes(), set(), spread.value
         for whole in batches:
             for a, b in pieces(whole.column("text").to_pylist(), 4_000_000):
                 batch = whole.slice(a, b - a)
@@ -125,72 +146,65 @@ def prepared(docs: DataFrame, long: np.ndarray, key: str, text: str, size: int)
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(mark)
-                    first = len(own) - -(-SHARE_NUM * len(own) // SHARE_DEN) + 1
+                    first = len(own) - -(-SHARE_NUM * len(own) // SHARE_DEN) + spare(len(own))
+                    plain, last = own, own[:0]
                     if len(long):
-                        hit = long[np.minimum(np.searchsorted(long, own), len(long) - 1)] == own
-                        plain = own[~hit]
-                        prefix.append(np.concatenate([plain, own[hit]])[:first].view(np.int64))
-                        cold.append(min(first, len(plain)))
-                        share.append(1 - len(plain) / len(own))
-                    else:
-                        prefix.append(own[:first].view(np.int64))
-                        cold.append(first)
-                        share.append(0.0)
+                        at = np.minimum(np.searchsorted(long, own), len(long) - 1)
+                        hit = long[at] == own
+                        plain, last = own[~hit], own[hit][np.argsort(step[at[hit]], kind="stable")]
+                    prefix.append(np.concatenate([plain, last])[:first].view(np.int64))
+                    cold.append(min(first, len(plain)))
+                    share.append(1 - len(plain) / len(own))
                     bits.append(bitmap(own))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, longs), pa.array(cold, pa.int32()), pa.array(share, pa.float32()), pa.array(bits, longs)],
+                    [batch.column("doc_id"), batch.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, longs), pa.array(cold, pa.int32()), pa.array(share, pa.float32()), pa.array(bits, longs)],
                     names=["doc_id", "th", "cls", "n", "prefix", "cold", "share", "bits"],
                 )
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, cls bigint, n bigint, prefix array<bigint>, cold int, share float, bits array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, cls bigint, n int, prefix array<bigint>, cold int, share float, bits array<bigint>")
 
 
 def _lists(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, n, cls. For each class of a list: the not larger classes there, sorted
-    (none for the smallest). A list that turns out longer than `long` is passed on with its token instead."""
-    token = n = cls = np.zeros(0, np.int64)
-    passing = None  # a token whose list is long and not at its end
+    """Rows sorted by token, n, cls, each class once in a list. For each class of a list: the not
+    larger classes there that are large enough, sorted (none for the smallest). A list longer than
+    `long` is passed on with its token instead."""
+    passing = None  # a token whose list is longer than what was held of it
 
-    def emit(token: np.ndarray, n: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(token: np.ndarray, n: np.ndarray, cls: np.ndarray, more: bool) -> Iterator[pa.RecordBatch]:
         nonlocal passing
         own, near, by = [], [], []
-        edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if b - a < 2 and token[a] != passing:
-                continue
-            c, m = cls[a:b], n[a:b]
-            fresh = np.r_[True, c[1:] != c[:-1]]
-            c, m = c[fresh], m[fresh]
-            if len(c) > long or token[a] == passing:
-                passing = token[a]
+        edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]).tolist() if len(token) else []
+        for a, b in zip(edge, edge[1:]):
+            c, m, mark = cls[a:b], n[a:b], int(token[a])
+            if mark == passing or b - a > long:
                 own.extend(c.tolist())
                 near.extend([None] * len(c))
-                by.extend([int(token[a])] * len(c))
-                continue
-            start = np.searchsorted(m, -(-SHARE_NUM * m // SHARE_DEN))
-            for i in range(len(c)):
-                own.append(int(c[i]))
-                near.append(np.sort(c[start[i] : i]))
-                by.append(None)
+                by.extend([mark] * len(c))
+            elif b - a > 1:
+                start = np.searchsorted(m, -(-SHARE_NUM * m // SHARE_DEN))
+                for i in range(len(c)):
+                    own.append(int(c[i]))
+                    near.append(np.sort(c[start[i] : i]))
+                    by.append(None)
+        passing = int(token[-1]) if more else None
         if own:
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(by, pa.int64())], names=["cls", "near", "token"])
 
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
     for batch in batches:
-        token = np.r_[token, batch.column("token").to_numpy()]
-        n = np.r_[n, batch.column("n").to_numpy()]
-        cls = np.r_[cls, batch.column("cls").to_numpy()]
-        if not len(token):
+        held = [np.r_[h, batch.column(c).to_numpy()] for h, c in zip(held, ("token", "n", "cls"))]
+        if not len(held[0]):
             continue
-        last = int(np.searchsorted(token, token[-1]))
-        yield from emit(token[:last], n[:last], cls[:last])
-        token, n, cls = token[last:], n[last:], cls[last:]
-        if len(token) > max(4096, 4 * long):
-            yield from emit(token, n, cls)
-            token, n, cls = token[:0], n[:0], cls[:0]
-    if len(token):
-        yield from emit(token, n, cls)
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield from emit(*(h[:last] for h in held), False)
+            held = [h[last:] for h in held]
+        if len(held[0]) > long:  # long for certain: the rest of it may come in parts
+            yield from emit(*held, True)
+            held = [h[:0] for h in held]
+    yield from emit(*held, False)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,61 +215,81 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from zip(batch.column("cls").to_pylist(), batch.column("near").to_pylist())
 
-    x, y, times, first = [], [], [], []
+    def told(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["x", "y", "times", "first"])
+
+    out: list[tuple] = []
     for own, group in groupby(rows(), lambda r: r[0]):
         found = [(c, sum(1 for _ in same)) for c, same in groupby(heapq.merge(*(near for _, near in group)))]
-        best = max(found, key=lambda f: (f[1], -f[0]))
-        for c, k in found:
-            x.append(own)
-            y.append(c)
-            times.append(k)
-            first.append(c == best[0])
-        if len(x) > 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(times), pa.array(first)], names=["x", "y", "times", "first"])
-            x, y, times, first = [], [], [], []
-    if x:
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(times), pa.array(first)], names=["x", "y", "times", "first"])
+        best = max(found, key=lambda f: (f[1], -f[0]))[0]
+        out += [(own, c, k, c == best) for c, k in found]
+        if len(out) > 20_000:
+            yield told(out)
+            out = []
+    if out:
+        yield told(out)
 
 
 def _similar_size(n: str, m: str) -> Column:
     return F.least(n, m) * SHARE_DEN >= F.greatest(n, m) * SHARE_NUM
 
 
-def _reachable(nx: str, ny: str, ux: str, uy: str) -> Column:
-    """The overlap, at most what either set has besides its u shingles that no other set has, can
-    reach the threshold."""
-    most = F.least(F.col(nx) - F.col(ux), F.col(ny) - F.col(uy))
-    return _similar_size(nx, ny) & (most * (SHARE_NUM + SHARE_DEN) >= (F.col(nx) + F.col(ny)) * SHARE_NUM)
+def _across(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (x, y) of the same token, but of different components r, that sizes, shingles of their
+    own and bitmaps don't rule out. members: token, cls, n, avail, reach, r, bits."""
+    counted = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(counted, ["token", "salt"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "n", "avail", "reach", "r", "bits")
+    order = ["token", "p", "q"]
+
+    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
+        p, q = rows[0][1], rows[0][2]
+        side, cls, n, avail, reach, root = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6, 7, 8))
+        a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        x, y = [], []
+        for i in a.tolist():
+            j = b[b > i] if p == q else b
+            j = j[root[j] != root[i]]
+            most = np.minimum(n[i], n[j])
+            most = np.where(reach[i] & reach[j], np.minimum(most, np.minimum(avail[i], avail[j])), most)
+            for k in j[most * (SHARE_NUM + SHARE_DEN) >= (n[i] + n[j]) * SHARE_NUM].tolist():
+                if _near_enough(int(n[i] + n[k]), rows[i][9], rows[k][9]):
+                    x.append(max(cls[i], cls[k]))
+                    y.append(min(cls[i], cls[k]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"]) if x else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, unit in groupby(rows, lambda r: r[:3]):
+            if (out := pairs(list(unit))) is not None:
+                yield out
 
-def _near_enough(nx: str, ny: str, bx: str, by: str) -> Column:
-    """The bitmaps (the larger folded to the size of the smaller) don't rule the pair out: of both
-    sizes together at most (1 - t) / (1 + t) may differ."""
-
-    def folded(a: str, b: str) -> Column:
-        half = (F.size(a) / 2).cast("int")
-        low, high = F.slice(a, F.lit(1), half), F.slice(a, half + 1, half)
-        return F.when(F.size(a) > F.size(b), F.zip_with(low, high, lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(a))
-
-    apart = F.aggregate(F.zip_with(folded(bx, by), folded(by, bx), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return apart * (SHARE_NUM + SHARE_DEN) <= (F.col(nx) + F.col(ny)) * (SHARE_DEN - SHARE_NUM)
+    return units.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "x bigint, y bigint")
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) that sizes and bitmaps don't rule out."""
-    mine = classes.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    other = classes.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    return pairs.join(mine, "x").join(other, "y").where(_similar_size("nx", "ny") & _near_enough("nx", "ny", "bx", "by")).select("x", "y")
+def _near_enough(both: int, a: list[int], b: list[int]) -> bool:
+    """The bitmaps (the larger folded to the size of the smaller) don't rule the pair out: of both
+    sizes together at most (1 - t) / (1 + t) may differ."""
+    p, q = np.array(a, np.int64), np.array(b, np.int64)
+    while len(p) != len(q):
+        if len(p) < len(q):
+            p, q = q, p
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return int(np.bitwise_count((p ^ q).view(np.uint64)).sum()) * (SHARE_NUM + SHARE_DEN) <= both * (SHARE_DEN - SHARE_NUM)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Links (a, b) among the pairs (x, y), by their texts."""
-    ends = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
-    wanted = ends.join(classes, "cls").select("cls", F.coalesce("rep", F.lit(-1)).alias("rep"), "th")
+    """Links (a, b) among the pairs (x, y, hot), by their texts. A y whose pairs are hot has its text
+    copied SALTS times: there are more pairs of it than that."""
+    ends = pairs.select(F.col("x").alias("cls"), F.lit(False).alias("hot")).unionByName(pairs.select(F.col("y").alias("cls"), "hot")).groupBy("cls").agg(F.max("hot").alias("hot"))
+    wanted = ends.join(classes, "cls").select("cls", "hot", F.coalesce("rep", F.lit(-1)).alias("rep"), "th")
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("rep"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    texts = rows.join(wanted, ["rep", "th"]).select("cls", "text").dropDuplicates(["cls"])
-    texts = written(texts, "texts")
-    both = pairs.join(texts.select(F.col("cls").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("cls").alias("y"), F.col("text").alias("ty")), "y")
+    texts = written(rows.join(wanted, ["rep", "th"]).select("cls", "hot", "text").dropDuplicates(["cls"]), "texts")
+    salted = pairs.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("x"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    one = texts.select(F.col("cls").alias("x"), F.col("text").alias("tx"))
+    other = texts.select(F.col("cls").alias("y"), F.col("text").alias("ty"), F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))).alias("salt"))
+    both = salted.join(one, "x").join(other, ["y", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -268,46 +302,54 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, t
                 kept[cls] = shingle_set(hashes.of(t), size)
             return kept[cls]
 
-        for batch in batches:
-            a, b = [], []
-            for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "tx", "ty"))):
-                small, large = sorted((own(x, tx), own(y, ty)), key=len)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared = int((large[at] == small).sum())
-                if SHARE_DEN * shared >= SHARE_NUM * (len(small) + len(large) - shared):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for whole in batches:
+            for i, j in pieces(whole.column("tx").to_pylist(), 4_000_000):
+                a, b = [], []
+                for x, y, tx, ty in zip(*(whole.column(c).slice(i, j - i).to_pylist() for c in ("x", "y", "tx", "ty"))):
+                    small, large = sorted((own(x, tx), own(y, ty)), key=len)
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    shared = int((large[at] == small).sum())
+                    if SHARE_DEN * shared >= SHARE_NUM * (len(small) + len(large) - shared):
+                        a.append(x)
+                        b.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     links = written(both.mapInArrow(run, "a bigint, b bigint"), "links")
     drop_written(texts)
     return links
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, long: int = LONG, max_long: int = MAX_LONG) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, long: int = LONG, max_long: int = MAX_LONG, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, th (xxhash64 of the text), cls (equal sets have equal cls;
     null for an empty set), n_shingles, and component_id (smallest doc_id reachable by links)."""
     longest = long_shingles(docs.select(text), size, long, max_long)
     rows = written(prepared(docs, longest, key, text, size), "sets")
     # the smallest id of a class with its text's hash; ids come last if null
-    classes = (
+    classes = written(
         rows.where("cls IS NOT NULL").groupBy("cls", "n")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("share").alias("share"), F.max("cold").alias("cold"), F.first("bits", ignorenulls=True).alias("bits"))
-        .select("cls", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "share", "cold", "bits")
-    )
-    classes = written(classes, "classes")
-    postings = rows.where("prefix IS NOT NULL").select("cls", "n", "share", "cold", F.posexplode("prefix").alias("at", "token"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max(F.struct("share", "cold", "prefix", "bits")).alias("own"))
+        .select("cls", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "own.share", "own.cold", "own.prefix", "own.bits"), "classes")
+    postings = classes.select("cls", "n", "cold", F.posexplode("prefix").alias("at", "token"))
     short = postings.where("at < cold").select("token", "n", "cls").repartition("token").sortWithinPartitions("token", "n", "cls")
     lists = written(short.mapInArrow(lambda it: _lists(it, long), "cls bigint, near array<bigint>, token bigint"), "lists")
-    candidates = written(lists.where("size(near) > 0").select("cls", "near").repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged, "x bigint, y bigint, times bigint, first boolean"), "candidates")
-    skipped = postings.where("at >= cold").select("token", "cls").unionByName(lists.where("token IS NOT NULL").select("token", "cls")).distinct()
-    # u: how many of a class's shingles stand in no other class, as far as its prefix shows
-    met = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("met"))
-    alone = classes.join(met, "cls", "left").select("cls", "n", "share", "bits", (F.col("cold") - F.coalesce("met", F.lit(0))).alias("u"))
-    skipped = written(skipped.join(alone, "cls"), "skipped")
-    typical = skipped.groupBy("token").agg(F.max(F.struct("share", F.negative("u").alias("u"), F.negative("n").alias("n"), "cls")).alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("top.cls").alias("y"), (-F.col("top.n")).alias("ny"), (-F.col("top.u")).alias("uy"))
-    star = skipped.join(typical, "token").where((F.col("cls") != F.col("y")) & _reachable("n", "ny", "u", "uy")).select(F.col("cls").alias("x"), "y").distinct()
-    begin = written(_bounded(candidates.where("first").select("x", "y").unionByName(star).distinct(), classes), "pairs")
+    # skips: how many of a class's lists are skipped on top; avail: the shingles that other classes may have too
+    met = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("met"), F.count("token").alias("late"))
+    skips, alone = F.size("prefix") - F.col("cold") + F.coalesce("late", F.lit(0)), F.col("cold") - F.coalesce("met", F.lit(0))
+    reach = F.size("prefix") > F.col("cold")  # then all its shingles that aren't long were looked up
+    known = written(classes.join(met, "cls", "left").select("cls", "n", "share", "bits", skips.cast("int").alias("skips"), reach.alias("reach"), F.when(reach, F.col("n") - alone).otherwise(F.col("n")).cast("int").alias("avail")), "known")
+    counted = lists.where("size(near) > 0").select("cls", "near").repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged, "x bigint, y bigint, times int, first boolean")
+    mine, other = (known.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("skips").alias(f"s{c}")) for c in "xy")
+    enough = F.col("times") >= F.least(_spare(F.col("nx")), _spare(F.col("ny"))) - F.least("sx", "sy")
+    candidates = written(counted.join(mine, "x").join(other, "y").where(enough).select("x", "y", "first"), "candidates")
+    late = lists.where("token IS NOT NULL").select("token", "cls")
+    wide = known.where(F.col("skips") >= _spare(F.floor(F.col("n") * SHARE_NUM / SHARE_DEN))).select("cls", "n", "share")
+    skipped = written(postings.where("at >= cold").select("token", "cls").unionByName(late).join(wide, "cls"), "skipped")
+    typical = skipped.groupBy("token").agg(F.max(F.struct("share", F.negative("n").alias("n"), "cls")).alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    typical = typical.select("token", F.col("top.cls").alias("y"), (-F.col("top.n")).alias("ny"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = skipped.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    star = spread.join(typical, ["token", "salt"]).where((F.col("cls") != F.col("y")) & _similar_size("n", "ny")).select(F.col("cls").alias("x"), "y").distinct()
+    begin = candidates.where("first").select("x", "y", F.lit(False).alias("hot")).unionByName(star.withColumn("hot", F.lit(True)))
+    begin = written(begin.groupBy("x", "y").agg(F.max("hot").alias("hot")), "pairs")
     links = _verified(begin, docs, classes, key, text, size)
     root = written(components(links), "roots")
 
@@ -315,19 +357,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return frame.join(root.select(F.col("node").alias(cls), F.col("root").alias(name)), cls, "left").withColumn(name, F.coalesce(name, F.col(cls)))
 
     rest = rooted(rooted(candidates.where("NOT first").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry").select("x", "y")
-    members = rooted(skipped, "cls", "r")
-    split = members.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token")
-    apart = members.join(split, "token").select("token", "cls", "n", "u", "r", "bits")
-    mine, other = (apart.select("token", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("u").alias(f"u{c}"), F.col("bits").alias(f"b{c}"), F.col("r").alias(f"r{c}")) for c in "xy")
-    across = mine.join(other, "token").where((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & _reachable("nx", "ny", "ux", "uy") & _near_enough("nx", "ny", "bx", "by")).select("x", "y")
-    more = written(_bounded(rest.unionByName(across).distinct().join(begin, ["x", "y"], "left_anti"), classes), "pairs")
+    members = rooted(skipped.select("token", "cls"), "cls", "r")
+    split = members.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    apart = members.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(split, ["token", "salt"]).drop("salt").join(known.select("cls", "n", "avail", "reach", "bits"), "cls")
+    more = written(rest.unionByName(_across(apart, block)).distinct().join(begin, ["x", "y"], "left_anti").withColumn("hot", F.lit(False)), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, classes, key, text, size))
-        root = written(components(links), "roots")
+        late_links = _verified(more, docs, classes, key, text, size)
+        drop_written(root)
+        root = written(components(links.unionByName(late_links)), "roots")
+        drop_written(late_links)
     by_root = rooted(classes.select("cls", "rep"), "cls", "root")
     smallest = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = by_root.join(smallest, "root").select("cls", "component_id")
-    return rows.select("doc_id", "th", "cls", F.col("n").alias("n_shingles")).join(of_class, "cls", "left").withColumn(
+    of_class = written(by_root.join(smallest, "root").select("cls", "component_id"), "component")
+    for done in (classes, lists, known, candidates, skipped, begin, links, more, root):
+        drop_written(done)
+    return rows.select("doc_id", "th", "cls", F.col("n").cast("bigint").alias("n_shingles")).join(of_class, "cls", "left").withColumn(
         "component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     ).select("doc_id", "th", "cls", "n_shingles", "component_id")
 

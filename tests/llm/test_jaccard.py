@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import jaccard
@@ -82,6 +83,59 @@ def test_nulls_ties_and_repeats(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["one two"], ["one two", "one two"], ["a b c d e"], ["a b c d e", "A b  c d e"], [None], [""], ["one two", None, "two one"]])
+def test_tables_of_one_or_two_rows(spark, texts):
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_large_groups_over_many_partitions(spark):
+    """10,000 copies and a near copy of them, near copies in a list of more than three Arrow batches,
+    and short documents that share a passage but don't link."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(90)]
+    texts = [" ".join(base)] * 10_000 + [" ".join(base[:60] + ["changed"] + base[61:])]
+    other = [f"o{i}" for i in range(60)]
+    for i in range(700):
+        own = list(other)
+        own[rng.randrange(60)] = f"edit{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join([f"p{i}" for i in range(60)] + [f"q{k}x{i}" for i in range(9)]) for k in range(300)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    distinct = {t: i for i, t in reversed(rows)}
+    want = brute(sorted((i, t) for t, i in distinct.items()))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "31", "spark.sql.execution.arrow.maxRecordsPerBatch": "200"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(40)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, max_long=0).collect()}
+        known = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, block=64).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == known == {i: want[distinct[t]] for i, t in rows}
+
+
+def lists_of(rows, long, size):
+    """What _lists gives for sorted (token, n, cls) rows that come in batches of size."""
+    kinds = (pa.int64(), pa.int32(), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + size]), kinds)], names=["token", "n", "cls"]) for at in range(0, len(rows), size)]
+    return [r for b in jaccard._lists(iter(batches), long) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1000])
+def test_lists_come_whole_over_batches(size):
+    rows = [(1, 10, 5)] + [(2, 10, i) for i in range(200)] + [(3, 10, 7), (3, 10, 8), (3, 40, 9)] + [(4, 10, i) for i in range(5)]
+    got = lists_of(rows, 4, size)
+    assert sorted(r["cls"] for r in got if r["token"] == 2) == list(range(200))
+    assert sorted(r["cls"] for r in got if r["token"] == 4) == list(range(5))
+    assert [(r["cls"], r["near"]) for r in got if r["token"] is None] == [(7, []), (8, [7]), (9, [])]
+
+
 def test_component_chains(spark):
     rng = np.random.default_rng(1)
     order = rng.permutation(200)
@@ -89,3 +143,6 @@ def test_component_chains(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {int(x): int(order[:150].min()) for x in order[:150]} | {300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    hub = [(5, i) for i in range(10, 3000)] + [(4000, i) for i in range(2990, 3500)] + [(6000, 6001)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(hub, "a bigint, b bigint")).collect()}
+    assert got == {i: 5 for i in [5, 4000, *range(10, 3500)]} | {6000: 6000, 6001: 6000}
