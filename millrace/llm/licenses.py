@@ -5,14 +5,23 @@ text within k edits of the notice holds at least one of the notice's k + 1 parts
 searches for the parts (seeds) find every place worth a look. There the regex library's
 bounded-error matching verifies the notice and gives the span and the edits. Base phrases are exact.
 
-Defined cases: a null text counts as empty; a text without words has no spans and score 0; rows may
-repeat; an empty table gives an empty table; clashing columns are replaced, others pass through.
+Notices of different licenses may be within each other's edits. So the words that tell a notice from
+such neighbours must stand in the match, with less than half the edits that lead to the neighbour's
+word; and of spans that overlap only the one with the fewest edits for its length stays (then the
+longer, the earlier, and the first by label and notice).
+
+Defined cases: a null text counts as empty; a text without words has no spans and score 0; texts of
+any length and with any number of places take time in proportion to their length: long stretches of seeds are
+verified in pieces that overlap by more than a notice; rows may repeat and get equal results; an
+empty table gives an empty table; clashing columns are replaced, others pass through.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,8 +33,17 @@ from millrace.llm.batches import add_columns
 # Base phrases and labels, and short notices and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 NOTICES = {
+    "licensed under cc by 4 0": "cc-by",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa",
+    "licensed under cc by nd 4 0": "cc-by-nd",
     "licensed under cc by sa 4 0": "cc-by-sa",
+    "licensed under the bsd license": "bsd",
+    "licensed under the eclipse public license": "epl",
+    "licensed under the isc license": "isc",
+    "distributed under the boost software license version 1 0": "boost",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "licensed under the gnu general public license": "gpl",
     "licensed under the gnu lesser general public license": "lgpl",
     "licensed under the gnu affero general public license": "agpl",
@@ -62,6 +80,28 @@ def seeds(notice: str, edits: int) -> list[tuple[int, bytes]]:
     return [(n * i // k, notice[n * i // k : n * (i + 1) // k].encode()) for i in range(k)]
 
 
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def telling_words(notice: str, label: str, notices: dict[str, str], per_edit: int) -> dict[str, int]:
+    """The words that tell the notice from those of other labels within its and their edits, and how
+    many edits each may have: less than half of what leads to a word of the other."""
+    out: dict[str, int] = {}
+    for other, its in notices.items():
+        if its != label and edit_distance(notice, other) <= len(notice) // per_edit + len(other) // per_edit:
+            foreign = set(other.split()) - set(notice.split())
+            for word in set(notice.split()) - set(other.split()):
+                apart = min([len(word), *(edit_distance(word, w) for w in foreign)])
+                out[word] = min(out.get(word, apart), (apart - 1) // 2)
+    return out
+
+
 class NoticeSearch:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str], per_edit: int = PER_EDIT):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
@@ -70,33 +110,62 @@ class NoticeSearch:
             edits = len(notice) // per_edit
             # the word before must end where the notice starts, and so at its end: notices are whole words
             form = regex.compile(rf"(?b)(?<= )(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?= )")
-            self.notices.append((notice, label, edits, seeds(notice, edits), form))
+            telling = [(word.encode().decode("latin-1"), most) for word, most in telling_words(notice, label, notices, per_edit).items()]
+            self.notices.append((notice, label, edits, seeds(notice, edits), form, telling))
 
     def base(self, line: bytes) -> list[dict]:
         found = []
         for phrase, label in self.phrases:
             at = line.find(phrase)
             while at >= 0:
-                found.append({"label": label, "word": line.count(b" ", 0, at)})
+                found.append((at, label))
                 at = line.find(phrase, at + 1)
-        return sorted(found, key=lambda x: (x["word"], x["label"]))
+        words = _word_numbers(line, [at for at, _ in found])
+        return sorted(({"label": label, "word": w} for (_, label), w in zip(found, words)), key=lambda x: (x["word"], x["label"]))
 
     def fuzzy(self, line: bytes) -> list[dict]:
-        found = []
-        for notice, label, edits, parts, form in self.notices:
+        found: set[tuple] = set()  # edits a character, characters negative, start, label, notice, edits
+        for k, (notice, label, edits, parts, form, telling) in enumerate(self.notices):
             windows = []
             for offset, part in parts:
                 at = line.find(part)
                 while at >= 0:
                     windows.append((max(0, at - offset - edits - 1), min(len(line), at - offset + len(notice) + edits + 1)))
                     at = line.find(part, at + 1)
-            for a, b in _joined(windows):
+            whole = len(notice) + edits + 2
+            for a, b in _pieces(_joined(windows), 16 * whole, whole):
                 # bytes as Latin-1 characters: places in the window are places in the line
                 for m in _places(form, line[a:b].decode("latin-1")):
-                    n = sum(m.fuzzy_counts)
-                    found.append({"label": label, "first_word": line.count(b" ", 0, a + m.start()) - 1, "end_word": line.count(b" ", 0, a + m.end()),
-                                  "edits": n, "likeness": 1 - n / len(notice), "matched": line[a + m.start() : a + m.end()].decode("utf-8", "replace")})
-        return sorted(found, key=lambda x: (x["first_word"], x["label"], x["end_word"], x["edits"]))
+                    words = m[0].split()
+                    if all(word in words or most and any(edit_distance(word, w) <= most for w in words) for word, most in telling):
+                        n = sum(m.fuzzy_counts)
+                        found.add((n / len(notice), m.start() - m.end(), a + m.start(), label, k, n))
+        best = _apart(sorted(found))
+        first, end = (_word_numbers(line, [x[at] - more for x in best]) for at, more in ((0, 1), (1, 0)))
+        out = [{"label": label, "first_word": f, "end_word": e, "edits": n, "likeness": 1 - n / len(self.notices[k][0]), "matched": line[a:b].decode("utf-8", "replace")}
+               for (a, b, label, k, n), f, e in zip(best, first, end)]
+        return sorted(out, key=lambda x: (x["first_word"], x["label"], x["end_word"], x["edits"]))
+
+
+def _word_numbers(line: bytes, places: list[int]) -> list[int]:
+    """For places of spaces in the line: the number of the word behind each, from 0."""
+    if not places:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    return np.searchsorted(spaces, places).tolist()
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """Of spans that overlap the first in the order given: start, end, label, notice, edits."""
+    starts: list[int] = []
+    taken: dict[int, tuple] = {}
+    for _, size, a, label, k, n in found:
+        b = a - size
+        at = bisect_right(starts, a)
+        if (at == 0 or taken[starts[at - 1]][1] <= a) and (at == len(starts) or starts[at] >= b):
+            starts.insert(at, a)
+            taken[a] = (a, b, label, k, n)
+    return [taken[a] for a in starts]
 
 
 def _places(form: regex.Pattern, window: str) -> Iterator[regex.Match]:
@@ -110,6 +179,15 @@ def _places(form: regex.Pattern, window: str) -> Iterator[regex.Match]:
             parts += [(a, m.start()), (m.end(), b)]
 
 
+def _pieces(windows: list[tuple[int, int]], size: int, more: int) -> Iterator[tuple[int, int]]:
+    """The windows, those longer than size in pieces that overlap by more than any match is long."""
+    for a, b in windows:
+        while b - a > size:
+            yield a, a + size
+            a += size - more
+        yield a, b
+
+
 def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(windows):
