@@ -14,7 +14,8 @@ A conversation that is not restored by step 2 (there is none) raises an error.
 
 Defined cases: a null text or role counts as empty; turns are ordered by turn (null first), then
 role, then text; repeated rows are repeated turns; rows with a null conv_id form one conversation;
-an empty table gives an empty table; other columns are ignored.
+a conversation is one row and so is bounded by what a row can hold, but takes time about in proportion to its
+turns and texts; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.arrays import let, starts
+
 # The template's marks, strings that chat models treat as control tokens, escapes.
 OPEN, CLOSE, END = "[INST] ", " [/INST]", "</s>"
 CONTROL = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
@@ -60,9 +63,6 @@ def render(turns: Column) -> Column:
 def raw_turns(formatted: Column) -> Column:
     """Roles and texts as written, escapes included; what stands after the last end mark, or before
     an opening mark, makes a turn that no source has."""
-    cut = F.split(formatted, r"</s>", -1)
-    # the last part is what follows the last end mark: nothing, in well-formed text
-    parts = F.filter(F.transform(cut, lambda p, i: F.struct(p.alias("p"), (i == F.size(cut) - 1).alias("last"))), lambda x: ~(x["last"] & (x["p"] == "")))
 
     def read(x: Column) -> Column:
         part = x["p"]
@@ -72,7 +72,9 @@ def raw_turns(formatted: Column) -> Column:
         text = F.when(fits, F.substring(part, at + len(CLOSE), F.length(part)))
         return F.struct(role.alias("role"), text.alias("text"))
 
-    return F.transform(parts, read)
+    # the last part is what follows the last end mark: nothing, in well-formed text
+    tagged = lambda cut: F.transform(cut, lambda p, i: F.struct(p.alias("p"), (i == F.size(cut) - 1).alias("last")))
+    return F.transform(F.filter(let(F.split(formatted, r"</s>", -1), tagged), lambda x: ~(x["last"] & (x["p"] == ""))), read)
 
 
 def parse(formatted: Column) -> Column:
@@ -122,25 +124,21 @@ def loss_texts(parsed: Column) -> Column:
 def loss_spans(formatted: Column) -> Column:
     """Where the loss mask is set in the formatted text: start and end (exclusive, code points) of
     each assistant text as written, escapes included."""
-    step = F.transform(raw_turns(formatted), lambda t: F.struct(t["role"].alias("role"), (F.length(t["role"]) + len(OPEN) + len(CLOSE)).alias("head"), F.length(t["text"]).alias("n")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,start:int,stop:int>>").alias("spans"))
-    walk = F.aggregate(
-        step, zero,
-        lambda acc, t: F.struct(
-            (acc["at"] + t["head"] + t["n"] + len(END)).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(t["role"].alias("role"), (acc["at"] + t["head"]).alias("start"), (acc["at"] + t["head"] + t["n"]).alias("stop")))).alias("spans"),
-        ),
-    )
-    return F.transform(F.filter(walk["spans"], lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    sizes = F.transform(raw_turns(formatted), lambda t: F.struct(t["role"].alias("role"), (F.length(t["role"]) + len(OPEN) + len(CLOSE)).alias("head"), F.length(t["text"]).alias("n")))
+
+    def placed(turns: Column) -> Column:
+        spans = lambda at: F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), (F.get(at, i) + t["head"]).alias("start"), (F.get(at, i) + t["head"] + t["n"]).alias("stop")))
+        return let(starts(F.transform(turns, lambda t: t["head"] + t["n"] + len(END))), spans)
+
+    return F.transform(F.filter(let(sizes, placed), lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
 
 
 def report(conversations: DataFrame) -> DataFrame:
     """Per conversation, read back from the formatted text: turns, digests, length and what stands
-    under the loss mask."""
+    under the loss mask: the assistant's texts as parsed, which are the texts at loss_spans unescaped."""
     own = conversations.select("conv_id", "turn", "role", "text")
-    done = format_chats(own).select("conv_id", "formatted", "parsed", "rounds", loss_spans(F.col("formatted")).alias("loss_spans"))
-    # the text under the mask is cut out of the formatted text and unescaped
-    masked = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))), "")
+    done = format_chats(own)
+    masked = F.array_join(loss_texts(F.col("parsed")), "")
     told = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.withColumn("masked", masked).select(
         "conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"),

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.arrays import let
 from millrace.llm.batches import unclashed
 from millrace.shared import written
 
@@ -35,11 +36,6 @@ _LAST = (1 << 63) - 1
 _K, _H, _GONE, _R = "_millrace_id", "_millrace_hash", "_millrace_gone", "_millrace_rest"
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with value evaluated once: it is bound as the element of an array."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("bigint"))
 

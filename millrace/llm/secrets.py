@@ -8,8 +8,10 @@ raises the count of one character and lowers that of another). Hexadecimal candi
 have thresholds of their own. The windows that reach it, from the first to the last, are the span.
 Candidates that an allow-list pattern matches are suppressed; base spans never are.
 
-Defined cases: a null text counts as empty; places are code points, end exclusive; repeated rows give
-equal results; an empty table stays empty; other columns pass through, one named spans is replaced.
+Defined cases: a null text counts as empty; places are code points, end exclusive; texts of any length
+and with any number of matches take time about in proportion to their length; spans that start at the same place are
+ordered by kind, then by end; repeated rows give equal results; an empty table stays empty; other
+columns pass through, one named spans is replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.arrays import let, starts
 from millrace.llm.batches import unclashed
-from millrace.llm.lines import let
 
 # Kinds in their order, base patterns, alphabets, thresholds in bits, allow-list.
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -43,17 +45,11 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, stop, hit>>: all matches from left to right; hit is the group's text."""
 
     def of(cut: Column, hits: Column) -> Column:
-        pairs = F.zip_with(cut, hits, lambda c, h: F.struct(F.length(c).alias("gap"), F.length(h["whole"]).alias("n"), h["part"].alias("hit")))
-        pairs = F.slice(pairs, F.lit(1), F.size(hits))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,hit:string>>").alias("out"))
-        return F.aggregate(
-            pairs, zero,
-            lambda acc, p: F.struct(
-                (acc["at"] + p["gap"] + p["n"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["n"]).alias("stop"), p["hit"].alias("hit")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
+        sizes = F.zip_with(F.slice(cut, F.lit(1), F.size(hits)), hits, lambda c, h: F.struct(F.length(c).alias("gap"), F.length(h["whole"]).alias("n"), h["part"].alias("hit")))
+        placed = lambda pairs: let(starts(F.transform(pairs, lambda p: p["gap"] + p["n"])), lambda at: F.transform(pairs, lambda p, i: F.struct(
+            (F.get(at, i) + p["gap"]).alias("start"), (F.get(at, i) + p["gap"] + p["n"]).alias("stop"), p["hit"].alias("hit"),
+        )))
+        return let(sizes, placed)
 
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole

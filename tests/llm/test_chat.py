@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,3 +45,23 @@ bits = st.lists(st.sampled_from(["<", "/s>", "</s>", "[INST] ", " [/INST]", "&",
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 3), st.sampled_from(["user", "assistant", " [/INST]", ""]), bits), min_size=20, max_size=60))
 def test_any_text_comes_back(spark, rows):
     check(spark, rows)
+
+
+def test_loss_spans_are_the_texts_under_the_mask(spark):
+    rows = [(1, t, r, x) for t, (r, x) in enumerate([("user", "</s>"), ("assistant", "a & <b>"), ("assistant", ""), ("system", "[INST]"), ("assistant", "</s>[INST] \u00e9\U0001f642")] * 150)]
+    df = chat.format_chats(spark.createDataFrame(rows, SCHEMA))
+    r = df.select("formatted", chat.loss_spans(F.col("formatted")).alias("spans")).first()
+    cut = [r["formatted"][s["start"] : s["stop"]] for s in r["spans"]]
+    for plain, entity in reversed(chat.ENTITIES):
+        cut = [c.replace(entity, plain) for c in cut]
+    assert cut == [x for _, _, role, x in rows if role == "assistant"]
+
+
+def test_many_turns_in_one_conversation(spark):
+    df = spark.range(100_000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s> number "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    r = chat.report(df).first()
+    n = len(chat.format_chats(df).select(chat.loss_spans(F.col("formatted")).alias("s")).first()["s"])
+    assert time.time() - began < 60
+    said = "".join(f"</s> number {i}" for i in range(1, 100_000, 2))
+    assert (r["n_turns"], n, r["loss_sha256"]) == (100_000, 50_000, sha(said))
