@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 
 from millrace.llm import bpe
@@ -21,10 +22,12 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark):
     texts += [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, "null id", None), (0, "", "again")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    out = bpe.unpack_ids(bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH)).collect()
-    assert len(out) == len(rows)
     encode = library().encode_ordinary
-    for r in out:
+    out = bpe.unpack_ids(bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH)).collect()
+    few = bpe.unpack_ids(bpe.encode(df, PATH, P.PATTERN, decoded="decoded", frequent=30)).collect()
+    none = bpe.unpack_ids(bpe.encode(df, PATH, P.PATTERN, decoded="decoded", frequent=0)).collect()
+    assert len(out) == len(few) == len(none) == len(rows)
+    for r in out + few + none:
         assert r["id_list"] == encode(r["text"] or "")
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
@@ -45,3 +48,25 @@ def test_a_lower_rank_that_appears_late_comes_first():
     other = tiktoken.Encoding("t", pat_str=r"[^ ]+| ", mergeable_ranks=ranks, special_tokens={})
     words = ["abcd", "xabcd", "ababab", "bcbcabc", "xaxaxabcbcd", "aab", "zz"]
     assert [np.frombuffer(p, "<u4").tolist() for p in own.encode([w.encode() for w in words])] == [other.encode_ordinary(w) for w in words]
+
+
+def test_words_that_are_very_long():
+    own, encode = bpe.MergeReplay(bpe.load_ranks(PATH)), library().encode_ordinary
+    rng = np.random.default_rng(5)
+    long = ["a" * 1_000_000, "ab" * 200_000, "".join(rng.choice(list("abcdefgh\u00e9\u65e5"), 300_000))]
+    for word in long:
+        assert np.frombuffer(own.encode([b"the", word.encode(), b"end"])[1], "<u4").tolist() == encode(word)
+
+
+def test_what_the_rank_file_lacks(spark):
+    with pytest.raises(ValueError, match="byte"):
+        bpe.MergeReplay({b"a": 0}).encode([b"ab"])
+    with pytest.raises(Exception, match="no token"):
+        bpe.decode(spark.createDataFrame([(bytearray(b"\xff" * 4),)], "ids binary"), PATH).collect()
+
+
+def test_frequent_words_are_counted_over_the_corpus(spark):
+    df = spark.createDataFrame([(" common" * 3 + " rare",), (" common other other",), (None,)], "text string").repartition(3)
+    replay = spark.sparkContext.broadcast(bpe.MergeReplay(bpe.load_ranks(PATH)))
+    got = bpe.frequent_words(df, replay, P.PATTERN, most=1)
+    assert list(got) == [" common"] and got[" common"] == replay.value.encode([b" common"])[0]
