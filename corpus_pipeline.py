@@ -35,7 +35,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, little-endian 32 bits) with digests of them and of what they decode to."""
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source"), RANKS, public_tokenizers.PATTERN), RANKS)
+    both = bpe.encode(docs.select("doc_id", "text", "lang", "source"), RANKS, public_tokenizers.PATTERN, decoded="decoded")
     return both.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
