@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,12 +55,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict:
-    named = [op1_line_dedup, op2_quality, op3_chat_format, op4_jaccard_join, op5_license_scan, op6_bpe_roundtrip, op7_language_id, op8_secret_scan, op9_embedding_near_dedup, op10_decontaminate, pipeline]
+    named = [op1_line_dedup, op2_quality, op3_chat_format, op4_jaccard_join, op5_license_scan, op6_bpe_roundtrip, op7_language_id, op8_secret_scan, op9_embedding_near_dedup, op10_decontaminate]
     return {f.__name__: f for f in named}
 
 
