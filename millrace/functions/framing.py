@@ -70,17 +70,22 @@ def member(data, at: int = 0) -> tuple[bytes, dict]:
     body, flags, block = header(data, at)
     if block is not None and at + block > len(data):
         raise GzError("Truncated", "BGZF block")
-    engine = zlib.decompressobj(-15)
-    try:
-        raw = engine.decompress(memoryview(data)[body:])
-    except zlib.error as why:
-        raise GzError("Deflate", str(why)) from None
-    if not engine.eof:
-        raise GzError("Truncated", "body")
-    end = len(data) - len(engine.unused_data)
-    if len(engine.unused_data) < TRAILER:
+    engine, parts, end, step = zlib.decompressobj(-15), [], body, 1 << 12
+    while not engine.eof:
+        # what follows the member is copied by zlib, so little more than the member is fed
+        part = data[end : end + step]
+        if not len(part):
+            raise GzError("Truncated", "body")
+        try:
+            parts.append(engine.decompress(part))
+        except zlib.error as why:
+            raise GzError("Deflate", str(why)) from None
+        end, step = end + len(part), min(2 * step, 1 << 20)
+    end -= len(engine.unused_data)
+    if end + TRAILER > len(data):
         raise GzError("Truncated", "trailer")
-    crc, size = struct.unpack_from("<II", engine.unused_data)
+    raw = b"".join(parts)
+    crc, size = struct.unpack_from("<II", data, end)
     row = {
         "header_offset": at, "body_offset": body, "trailer_offset": end, "flg": flags, "bgzf_block_size": block, "crc32_expected": crc, "isize_expected": size,
         "crc32_actual": zlib.crc32(raw), "raw_length": len(raw), "crc_ok": zlib.crc32(raw) == crc, "isize_ok": len(raw) & 0xFFFFFFFF == size,

@@ -33,9 +33,7 @@ def _gathered(df: DataFrame, key: str, line: str, rows: int, encode) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("k"), pa.array(parts, pa.binary())], names=["path", "k", "part"])
 
     parts = df.select(path_of(key, rows).alias("path"), F.col(key).alias("k"), F.col(line).alias("line")).mapInArrow(run, "path string, k bigint, part binary")
-    whole = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["part"]))
-    return whole.select("path", joined.alias("content"))
+    return parts.groupBy("path").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY k, part)").alias("content"))
 
 
 def member_files(df: DataFrame, key: str, line: str, rows: int, empty: bool = False, single: bool = False, newline: bool = True) -> DataFrame:
@@ -107,6 +105,6 @@ def joined_lines(decoded: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("seq", "kind")
     # a line starts at each last part (kind 2), and at the very first row
     line = ends.withColumn("line", F.sum((F.col("kind") == 2).cast("int")).over(order))
-    whole = line.groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "value"))).alias("p"))
-    values = whole.select(F.decode(F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["value"])), "UTF-8").alias("value")).where("value <> ''")
+    whole = line.groupBy("path", "line").agg(F.expr("listagg(value) WITHIN GROUP (ORDER BY seq, kind)").alias("value"))
+    values = whole.select(F.decode("value", "UTF-8").alias("value")).where("value <> ''")
     return parts.where("kind = 0").select(F.decode("value", "UTF-8").alias("value")).unionByName(values)
