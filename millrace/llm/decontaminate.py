@@ -5,27 +5,33 @@ Terms are the words that the benchmark's items use: no other word can be part of
 1. One pass over all documents counts in how many passages (PASSAGE words) each term stands, and
    sums the passages' sketch A'(A Omega) of the term counts A: the randomised range finder with one
    power step. Weighting by idf is a diagonal factor D, and D A' A Omega spans the same space as the
-   sketch of the weighted matrix for the test matrix Omega / D, so one pass is enough. Sums are
-   grouped by term; what reaches the driver has a row of RANK numbers for each of at most MAX_TERMS
-   terms (ids of a larger vocabulary wrap around), whatever the corpus.
+   sketch of the weighted matrix for the test matrix Omega / D, so one pass is enough. Omega's signs
+   come from a hash of the term. Sums are grouped by term; what reaches the driver has one row of RANK
+   numbers for each term of the benchmark, whatever the corpus.
 2. The sketch gives singular vectors V and values S. A text's latent vector is folded in, as the sum
    of idf(w) V[w] / S over its terms, so that the directions all texts of a language share don't
    drown the others.
-3. A second pass slides windows of the benchmark items' lengths (in classes) over each document; their
-   latent vectors are differences of running sums. Windows with enough terms whose cosine with an
-   item of their class reaches COSINE are candidates; overlapping ones are joined. COSINE lies well below
+3. A second pass slides windows of each benchmark item's length over each document; their latent
+   vectors are differences of running sums. Windows with enough terms whose cosine with the item
+   reaches COSINE are candidates; overlapping ones are joined. COSINE lies well below
    sqrt(WEAK), what a window with WEAK of an item's energy has at best: precision is left to step 4.
+   Cosines are only computed where a leak is possible: a window that shares WEAK of an item's words
+   has 1 / RARE at least among the 1 - WEAK + 1 / RARE rarest of them (pigeonhole), so windows without
+   so many of these nearby are passed by.
 4. Each window of the item's length in a joined candidate is verified by the longest common
    subsequence of words of the item and the window: it is a leak with at least STRONG of the item's
    words in order, or with at least WEAK of them if the item's answer stands in the window, word for
    word (paraphrases). Of overlapping leaks of an item the longest is reported. The answer is the
    item's answer column, or else its last sentences, as many as have ANSWER_WORDS words or more.
 
-Benchmark items are collected in blocks of at most BLOCK items, each of which makes a pass of its own.
+The benchmark is broadcast: its terms with their vectors, of which there may be MAX_TERMS (more are an
+error), and its items, in parts of at most PART_BYTES of text. Terms and vectors are those of the whole
+benchmark for each part, so parts don't change results; each makes a pass of its own over the documents.
 
 Defined cases: null or wordless texts and items never match; items with equal texts are reported
-each; a null item_id or doc_id is kept as it is; repeated rows give equal results; with an empty
-benchmark or no documents nothing is found; clashing columns are replaced.
+each; a null item_id or doc_id is kept as it is; repeated rows give equal results; very long texts are
+searched whole, by the words, in stretches of bounded memory; of equally long leaks of an item that overlap, the first is
+reported; with an empty benchmark or no documents nothing is found; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -37,24 +43,27 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.batches import add_columns
-from millrace.shared import written
+from millrace.shared import drop_written, written
 
-MAX_TERMS = 1 << 15
+MAX_TERMS = 1 << 22
+PART_BYTES = 32 << 20
 RANK = 32
 PASSAGE = 64
 COSINE = 0.3
 STRONG, WEAK = 0.7, 0.5
 ANSWER_WORDS = 3
-BLOCK = 4000
 STRIDES = 8
-CLASS = 1.4
-# words of a document times items that are looked at together
-_CELLS = 1 << 22
+RARE = 8
+# words of documents that are looked at together
+_WORDS = 300_000
+_STRETCH = 1 << 12
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -62,9 +71,17 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_WORD).split() if text else []
 
 
-def vocabulary(texts: list[str]) -> dict[bytes, int]:
-    words = sorted(set().union(*map(words_of, texts)))
-    return {w: i % MAX_TERMS for i, w in enumerate(words)}
+def vocabulary(items: DataFrame, most: int = MAX_TERMS) -> dict[bytes, int]:
+    """An id for each word of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(set().union(*map(words_of, batch.column(0).to_pylist())), pa.binary())], names=["word"])
+
+    words = items.select("words").mapInArrow(run, "word binary").distinct().limit(most + 1).toArrow()["word"].to_pylist()
+    if len(words) > most:
+        raise ValueError(f"the benchmark has more than {most} words")
+    return {w: i for i, w in enumerate(sorted(words))}
 
 
 def terms_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -72,8 +89,10 @@ def terms_of(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
 
 
-def test_matrix(terms: int, rank: int = RANK) -> np.ndarray:
-    return np.random.default_rng(11).standard_normal((terms, rank)).astype(np.float32)
+def test_matrix(known: dict[bytes, int], rank: int = RANK) -> np.ndarray:
+    """A row of random signs for each term, at most 64."""
+    marks = np.array([xxhash.xxh64_intdigest(w, 11) for w in known], np.uint64)
+    return 1 - 2 * np.unpackbits(marks.view(np.uint8).reshape(-1, 8), axis=1)[:, :rank].astype(np.float32)
 
 
 class Sketch:
@@ -95,7 +114,7 @@ class Sketch:
             return
         term, passage = np.concatenate(docs), np.concatenate(parts)
         known = term >= 0
-        term, passage = term[known].astype(np.uint16), passage[known]
+        term, passage = term[known], passage[known]
         if not len(term):
             return
         start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
@@ -106,18 +125,18 @@ class Sketch:
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
         self.total[term[first]] += np.add.reduceat(projected[own], first, axis=0)
         new = np.r_[True, (term[1:] != term[:-1]) | (own[1:] != own[:-1])]
-        self.df += np.bincount(term[new], minlength=len(self.df))
+        np.add.at(self.df, term[new], 1)
 
 
-def basis(docs: DataFrame, known: dict[bytes, int], text: str = "text", rank: int = RANK) -> np.ndarray:
-    """For each term idf(w) V[w] / S, over all passages of all documents."""
-    size = min(len(known), MAX_TERMS)
-    rank = min(rank, max(1, size))
-    spread = docs.sparkSession.sparkContext.broadcast((known, test_matrix(size, rank)))
+def basis(docs: DataFrame, known: dict[bytes, int], text: str = "text", rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """For each term idf(w) V[w] / S, over all passages of all documents, and its number of passages."""
+    size = len(known)
+    rank = min(rank, 64, max(1, size))
+    spread = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, omega = spread.value
-        sketch, held, n = Sketch(omega), [], 0
+        known = spread.value
+        sketch, held, n = Sketch(test_matrix(known, rank)), [], 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 own = terms_of(words_of(t), known)
@@ -135,14 +154,17 @@ def basis(docs: DataFrame, known: dict[bytes, int], text: str = "text", rank: in
 
     names = ["term", "df", *(f"s{j}" for j in range(rank))]
     schema = "term bigint, df bigint, " + ", ".join(f"s{j} double" for j in range(rank))
-    summed = written(docs.select(text).mapInArrow(run, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in names[1:]]), "sketch").toPandas()
-    passages = int(summed.loc[summed["term"] == -1, "df"].sum())
-    rows = summed[summed["term"] >= 0]
-    at = rows["term"].to_numpy()
-    df, whole = np.zeros(size), np.zeros((size, rank))
-    df[at] = rows["df"].to_numpy()
-    whole[at] = rows[names[2:]].to_numpy()
-    return folded(whole, np.log((2 + passages) / (1 + df)), test_matrix(size, rank))
+    summed = written(docs.select(text).mapInArrow(run, schema).groupBy("term").agg(*[F.sum(c).alias(c) for c in names[1:]]), "sketch")
+    rows = summed.toArrow()
+    drop_written(summed)
+    at, counts = rows["term"].to_numpy(), rows["df"].to_numpy()
+    real = at >= 0
+    passages = int(counts[~real].sum())
+    df, whole = np.zeros(size, np.int64), np.zeros((size, rank))
+    df[at[real]] = counts[real]
+    for j in range(rank):
+        whole[at[real], j] = rows[f"s{j}"].to_numpy()[real]
+    return folded(whole, np.log((2 + passages) / (1 + df)), test_matrix(known, rank)), df
 
 
 def folded(total: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -178,81 +200,126 @@ def common(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size of them) for each row, one after the other."""
+    first = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(first - start, size)
+
+
 class Search:
-    def __init__(self, items: list[tuple], known: dict[bytes, int], latent: np.ndarray, cosine: float = COSINE):
+    def __init__(self, items: list[tuple], known: dict[bytes, int], latent: np.ndarray, df: np.ndarray, cosine: float = COSINE):
         self.latent, self.cosine = latent, cosine
         self.items = [(item, w, frozenset(w), answer_of(text, answer)) for item, text, answer in items if (w := words_of(text))]
-        self.sizes = np.array([len(w) for _, w, _, _ in self.items], np.int64)
-        self.bags = np.zeros((len(self.items), len(latent)), bool)
-        by_size: dict[int, list[int]] = {}
-        for i, (_, w, _, _) in enumerate(self.items):
-            self.bags[i, terms_of(w, known)] = True
-            by_size.setdefault(round(np.log(len(w)) / np.log(CLASS)), []).append(i)
-        self.groups = []
-        for own in by_size.values():
-            sizes = [len(self.items[i][1]) for i in own]
-            size = int(np.median(sizes))
-            vectors = unit(np.array([latent[terms_of(self.items[i][1], known)].sum(axis=0) for i in own]))
-            # a leak has at least WEAK of an item's words, less what a stride may cut off
-            least = int(WEAK * min(sizes) - max(1, size // STRIDES))
-            self.groups.append((size, max(1, size // STRIDES), max(1, least), np.array(own), np.ascontiguousarray(vectors.T, np.float32)))
-
-    def find(self, words: list[bytes], terms: np.ndarray) -> list[dict]:
-        """Leaks in one document: item, first and end word of the window, overlap and whether the
+        self.terms = [terms_of(w, known) for _, w, _, _ in self.items]
+        self.words = np.array([len(w) for w in self.terms], np.int64)
+        self.vectors = unit(np.array([latent[t].sum(axis=0) for t in self.terms], np.float32).reshape(len(self.terms), latent.shape[1]))
+        self.stride = np.maximum(1, self.words // STRIDES)
+        # a leak has at least WEAK of an item's words, less what a stride may cut off
+        self.least = np.maximum(1, (WEAK * self.words - self.stride).astype(np.int64))
+        # the rarest words of each item: any leak has so many of them (self.rare); by term, the items
+        self.rare = np.maximum(1, self.words // RARE)
+        rare = [np.unique(t[np.lexsort((t, df[t]))[: len(t) - int(np.ceil(WEAK * len(t))) + n]]) for t, n in zip(self.terms, self.rare.tolist())]
+        term, item = np.concatenate([*rare, np.zeros(0, np.int32)]), np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+        self.by_term = item[np.argsort(term, kind="stable")]
+        self.n_items = np.append(np.bincount(term, minlength=len(df)), 0)  # -1, a word of no item, has none
+        self.first = np.append(np.cumsum(self.n_items[:-1]) - self.n_items[:-1], 0)
+        self.marked = np.zeros(len(df) + 1, bool)
+
+    def find(self, docs: list[list[bytes]], terms: list[np.ndarray]) -> list[list[dict]]:
+        """Leaks in each document: item, first and end word of the window, overlap and whether the
         answer was found."""
-        place = np.flatnonzero(terms >= 0)
-        if not len(place) or not self.groups:
-            return []
-        running = np.zeros((len(place) + 1, self.latent.shape[1]), np.float32)
-        np.cumsum(self.latent[terms[place]], axis=0, out=running[1:])
-        before = np.cumsum(np.r_[0, terms >= 0])
-        out = []
-        for size, stride, least, own, vectors in self.groups:
-            start = np.arange(0, max(1, len(words) - size + stride), stride)
-            stop = np.minimum(start + size, len(words))
-            a, b = before[start], before[stop]
-            full = np.flatnonzero(b - a >= least)
-            if not len(full):
+        out: list[list[dict]] = [[] for _ in docs]
+        length = np.array([len(t) for t in terms], np.int64)
+        begin = np.cumsum(length) - length
+        flat = np.concatenate([*terms, np.zeros(0, np.int32)])
+        for item, doc, lo, hi in zip(*(x.tolist() for x in self.spans(flat, begin, length))):
+            name, wanted, bag, answer = self.items[item]
+            at = int(begin[doc])
+            out[doc] += [{"item_id": name} | leak for leak in self.verified(wanted, bag, answer, docs[doc], lo - at, hi - at)]
+        return [sorted(found, key=lambda x: (x["first_word"], x["end_word"], str(x["item_id"]))) for found in out]
+
+    def spans(self, flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """item, document, first and end word (in flat) of joined candidates with enough of the item's words."""
+        at = np.flatnonzero(self.n_items[flat] > 0)
+        n = self.n_items[flat[at]]
+        item, place = self.by_term[_ranges(self.first[flat[at]], n)], np.repeat(at, n)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        doc = np.searchsorted(begin, place, "right") - 1
+        # a window that verified looks at, of the words of one document, has enough rare words of the item
+        first = np.arange(len(item))
+        last = np.minimum(first + self.rare[item] - 1, max(0, len(item) - 1))
+        full = (item[last] == item) & (doc[last] == doc) & (place[last] - place < self.words[item] + self.words[item] // 4) & (last - first == self.rare[item] - 1)
+        inside = np.zeros(len(item) + 1, np.int64)
+        np.add.at(inside, first[full], 1)
+        np.add.at(inside, last[full] + 1, -1)
+        some = np.cumsum(inside[:-1]) > 0
+        item, place, doc = item[some], place[some], doc[some]
+        size, stride, half = self.words[item], self.stride[item], self.words[item] // 2
+        # windows whose surroundings, half an item on either side, have the place in them
+        windows = -(-np.maximum(1, length[doc] - size + stride) // stride)
+        low = np.maximum(0, (place - begin[doc] - half - size) // stride + 1)
+        high = np.minimum(windows - 1, (place - begin[doc] + half) // stride)
+        some = low <= high
+        item, doc, low, high = item[some], doc[some], low[some], high[some]
+        if not len(item):
+            return item, doc, low, high
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] > high[:-1] + 1)])
+        low, n = low[new], high[np.append(new[1:], len(high)) - 1] - low[new] + 1
+        item, doc = np.repeat(item[new], n), np.repeat(doc[new], n)
+        start = begin[doc] + _ranges(low, n) * self.stride[item]
+        stop = np.minimum(start + self.words[item], begin[doc] + length[doc])
+        hit = self.near(flat, item, start, stop)
+        item, doc, start, stop = item[hit], doc[hit], start[hit], stop[hit]
+        half = self.words[item] // 2
+        start, stop = np.maximum(begin[doc], start - half), np.minimum(begin[doc] + length[doc], stop + half)
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])]) if len(item) else item
+        item, doc, start, stop = item[new], doc[new], start[new], stop[np.append(new[1:], len(stop)) - 1] if len(new) else stop[new]
+        enough = self.enough(flat, item, start, stop)
+        return item[enough], doc[enough], start[enough], stop[enough]
+
+    def near(self, flat: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Which windows have enough terms and a cosine of COSINE with their item, in their order."""
+        order = np.argsort(start, kind="stable")
+        edge = np.searchsorted(start[order], np.arange(0, len(flat) + _STRETCH, _STRETCH))
+        hits = [np.zeros(0, np.int64)]
+        for a, b, lo in zip(edge, edge[1:], range(0, len(flat), _STRETCH)):
+            w = order[a:b]
+            if not len(w):
                 continue
-            windows = running[b[full]] - running[a[full]]
-            norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
-            score = windows @ vectors
-            hit = score >= self.cosine * np.maximum(norm, 1e-9)[:, None]
-            some = np.flatnonzero(hit.any(axis=0))
-            spans: list[list] = []
-            few = max(1, _CELLS // len(place))
-            for part in (some[k : k + few] for k in range(0, len(some), few)):
-                i, w = np.nonzero(hit[:, part].T)
-                w = full[w]
-                # candidates without a window nearby that has enough of the item's words are left out
-                sizes = self.sizes[own[part]]
-                enough = self.enough(own[part], terms[place], before, start, stride)
-                lo = np.maximum(start[w] - 2 * sizes[i] - stride, 0) // stride
-                hi = np.minimum((stop[w] + sizes[i]) // stride + 1, len(start))
-                kept = enough[i, hi] > enough[i, lo]
-                for at, item in zip(w[kept].tolist(), part[i[kept]].tolist()):
-                    more = len(self.items[own[item]][1]) // 2
-                    a, b = max(0, int(start[at]) - more), min(len(words), int(stop[at]) + more)
-                    if spans and spans[-1][0] == item and a <= spans[-1][2]:
-                        spans[-1][2] = b
-                    else:
-                        spans.append([item, a, b])
-            for item, lo, hi in spans:
-                name, wanted, bag, answer = self.items[own[item]]
-                out += [{"item_id": name} | leak for leak in self.verified(wanted, bag, answer, words, lo, hi)]
-        return sorted(out, key=lambda x: (x["first_word"], x["end_word"], str(x["item_id"])))
-
-    def enough(self, items: np.ndarray, ids: np.ndarray, before: np.ndarray, start: np.ndarray, stride: int) -> np.ndarray:
-        """For each item, how many of the first starts have a window that could be a leak: any window
-        that verified looks at lies within that of the start before it."""
-        sizes = self.sizes[items][:, None]
-        inside = np.zeros((len(items), len(ids) + 1), np.int32)
-        np.cumsum(self.bags[items[:, None], ids], axis=1, out=inside[:, 1:])
-        stop = np.minimum(start + sizes + sizes // 4 + stride, len(before) - 1)
-        stop[:, -1] = len(before) - 1
-        shared = np.take_along_axis(inside, before[stop], axis=1) - inside[:, before[start]]
-        out = np.zeros((len(items), len(start) + 1), np.int32)
-        np.cumsum(shared >= WEAK * sizes, axis=1, out=out[:, 1:])
+            own = flat[lo : int(stop[w].max())]
+            place = own >= 0
+            before = np.cumsum(np.r_[0, place])
+            running = np.zeros((before[-1] + 1, self.latent.shape[1]))
+            np.cumsum(self.latent[own[place]], axis=0, out=running[1:], dtype=float)
+            x, y = before[start[w] - lo], before[stop[w] - lo]
+            full = y - x >= self.least[item[w]]
+            w, x, y = w[full], x[full], y[full]
+            for k in range(0, len(w), _STRETCH):
+                part = slice(k, k + _STRETCH)
+                latent = running[y[part]] - running[x[part]]
+                norm = np.sqrt(np.einsum("ij,ij->i", latent, latent))
+                score = np.einsum("ij,ij->i", latent, self.vectors[item[w[part]]])
+                hits.append(w[part][score >= self.cosine * np.maximum(norm, 1e-9)])
+        return np.sort(np.concatenate(hits))
+
+    def enough(self, flat: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Which spans have a window, of those that verified looks at, with WEAK of the item's words."""
+        out = np.zeros(len(item), bool)
+        edge = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else []
+        for a, b in zip(edge, edge[1:]):
+            own, n = self.terms[item[a]], int(self.words[item[a]])
+            wide, step = n + n // 4, max(1, n // 8)
+            size = stop[a:b] - start[a:b]
+            self.marked[own] = True
+            shared = np.cumsum(np.r_[0, self.marked[flat[_ranges(start[a:b], size)]]])
+            self.marked[own] = False
+            windows = -(-np.maximum(1, size - wide + step) // step)
+            first = np.repeat(np.cumsum(size) - size, windows)
+            x = _ranges(np.zeros(len(windows), np.int64), windows) * step
+            y = np.minimum(x + wide, np.repeat(size, windows))
+            good = shared[first + y] - shared[first + x] >= WEAK * n
+            out[a + np.repeat(np.arange(b - a), windows)[good]] = True
         return out
 
     def verified(self, wanted: list[bytes], bag: frozenset, answer: list[bytes], words: list[bytes], lo: int, hi: int) -> list[dict]:
@@ -296,55 +363,56 @@ def answer_of(text: str, answer: str | None) -> list[bytes]:
 LEAKS = T.ArrayType(
     T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("overlap", T.DoubleType()), T.StructField("answered", T.BooleanType())])
 )
+_PLACES = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("overlap", pa.float64()), ("answered", pa.bool_())]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", cosine: float = COSINE, rank: int = RANK, block: int = BLOCK) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", cosine: float = COSINE, rank: int = RANK, part_bytes: int = PART_BYTES) -> DataFrame:
     """Adds leaks: array<struct<item_id, first_word, end_word, overlap, answered>>, over whole texts."""
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.where(F.col("text").isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col("text").alias("words"), answer.alias("answer"))
-    blocks = max(1, -(-items.count() // block))
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // part_bytes))
     context = docs.sparkSession.sparkContext
-    out = docs.withColumn("leaks", F.array().cast(LEAKS))
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
-        rows = [tuple(r) for r in own.orderBy("item", "words").collect()]
-        known = vocabulary([r[1] for r in rows])
-        if not known:
-            continue
-        spread = context.broadcast((rows, known, basis(docs, known, text, rank), cosine))
-
-        def maker(spread=spread, last=k):
-            known, search = spread.value[1], Search(*spread.value)
-
-            def make(batch: pa.RecordBatch) -> list:
-                found = [search.find(w, terms_of(w, known)) for w in map(words_of, batch.column(text).to_pylist())]
-                if last:
-                    found = [a + b for a, b in zip(batch.column("leaks").to_pylist(), found)]
-                place = pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("overlap", pa.float64()), ("answered", pa.bool_())])
-                return [pa.array(found, pa.list_(place))]
-
-            return make
-
-        # the column made before is passed on under another name only where blocks follow each other
-        out = _with_leaks(out, maker, bool(k))
-    return out
-
-
-def _with_leaks(df: DataFrame, maker, again: bool) -> DataFrame:
-    field = T.StructField("leaks", LEAKS)
-    if not again:
-        return add_columns(df, [field], maker)
-    # leaks found by the blocks before is an input of the next pass
-    names = df.columns
-    schema = df.schema
+    known = vocabulary(items)
+    none = T.StructField("leaks", LEAKS)
+    if not known:
+        return add_columns(docs, [none], lambda: lambda batch: [pa.nulls(batch.num_rows, _PLACES).fill_null([])])
+    space = context.broadcast((known, *basis(docs, known, text, rank)))
+    out, found = docs, []
+    for k in range(parts):
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k)
+        spread = context.broadcast([tuple(r) for r in own.orderBy("item", "words").collect()])
+        found.append(f"_millrace_leaks_{k}" if parts > 1 else "leaks")
+        out = add_columns(out, [T.StructField(found[-1], LEAKS)], _finder(spread, space, cosine, text))
+    if parts == 1:
+        return out
+    order = lambda a, b: F.when(_place(a) < _place(b), -1).when(_place(a) > _place(b), 1).otherwise(0)
+    return out.withColumn("leaks", F.array_sort(F.concat(*found), order)).drop(*found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = maker()
-        for batch in batches:
-            made = make(batch)[0]
-            yield pa.RecordBatch.from_arrays([made if c == "leaks" else batch.column(c) for c in names], names=names)
 
-    return df.mapInArrow(run, schema)
+def _place(leak: Column) -> Column:
+    return F.struct(leak["first_word"], leak["end_word"], leak["item_id"].cast("string"))
+
+
+def _finder(spread: Broadcast, space: Broadcast, cosine: float, text: str):
+    def maker():
+        known, latent, df = space.value
+        search = Search(spread.value, known, latent, df, cosine)
+
+        def make(batch: pa.RecordBatch) -> list:
+            found: list[list[dict]] = []
+            held, terms, n = [], [], 0
+            for t in batch.column(text):
+                held.append(words_of(t.as_py()))
+                terms.append(terms_of(held[-1], known))
+                n += len(held[-1])
+                if n > _WORDS:
+                    found += search.find(held, terms)
+                    held, terms, n = [], [], 0
+            return [pa.array(found + search.find(held, terms), _PLACES)]
+
+        return make
+
+    return maker
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from millrace.llm import decontaminate as d
 
@@ -57,8 +58,9 @@ def test_against_brute_force(spark):
     assert len(want & got) >= 0.9 * len(want)
     assert len(got - want) <= 0.1 * len(got)
     assert d.clean(docs, bench).count() == len(texts) - len({i for i, _ in got})
-    two = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(docs.drop("LEAKS"), bench, block=25).selectExpr("doc_id", "inline(leaks)").collect()}
-    assert len(two & want) >= 0.9 * len(want)
+    whole = sorted(tuple(r) for r in d.report(docs, bench).collect())
+    parts = sorted(tuple(r) for r in d.find_leaks(docs, bench, part_bytes=2000).selectExpr("doc_id", "inline(leaks)").collect())
+    assert whole == parts
 
 
 def test_paraphrase_needs_the_answer(spark):  # every window is a candidate here: a few documents have no latent space
@@ -77,7 +79,7 @@ def test_singular_vectors_of_the_sketch():
     rng = np.random.default_rng(0)
     a = rng.poisson(1.0, (3000, 12)) * np.linspace(0.2, 3, 12)
     idf = np.linspace(1, 2, 12)
-    omega = d.test_matrix(12, 12)
+    omega = d.test_matrix({b"%d" % i: i for i in range(12)}, 12)
     got = d.folded(a.T @ (a @ omega), idf, omega)
     _, s, v = np.linalg.svd(a * idf, full_matrices=False)
     x = (a * idf) @ v.T / s
@@ -118,3 +120,27 @@ def test_every_copy_in_a_document_is_reported(spark):
 def test_answer_of_short_last_sentences():
     assert d.answer_of("What is it? It is a blue whale. Yes. Ok.", None) == d.words_of("It is a blue whale. Yes. Ok.")
     assert d.answer_of("Yes. Ok.", None) == []
+
+
+def test_terms_of_a_large_benchmark_have_ids_of_their_own(spark):
+    rows = [(i, " ".join(f"w{(i * 20 + k)}" for k in range(20))) for i in range(2500)]
+    known = d.vocabulary(spark.createDataFrame(rows, "item bigint, words string"))
+    assert len(known) == 50_000 and sorted(known.values()) == list(range(50_000))
+    with pytest.raises(ValueError, match="more than 100 words"):
+        d.vocabulary(spark.createDataFrame(rows, "item bigint, words string"), 100)
+    text = " ".join(f"filler{i}" for i in range(200))
+    docs = spark.createDataFrame([(k, f"{text} {rows[i][1]} {text} {rows[-1][1]}") for k, i in enumerate((0, 7, 1638, 1639, 2400))] + [(99, text)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.report(docs, spark.createDataFrame(rows, "item_id bigint, text string")).collect()}
+    assert got == {(k, i) for k, i in enumerate((0, 7, 1638, 1639, 2400))} | {(k, 2499) for k in range(5)}
+
+
+def test_long_texts_repeated_rows_and_ties(spark):
+    items = [(1, "the quick brown fox jumps over the lazy dog while seven wizards brew strong potions at midnight"), (2, "the quick brown fox jumps over the lazy dog while seven wizards brew strong potions at midnight"), (None, "entirely other words make this third item of the benchmark so that it can be told apart from them")]
+    rng = random.Random(1)
+    long = " ".join(rng.choice([f"n{i}" for i in range(3000)]) for _ in range(150_000))
+    docs = spark.createDataFrame([(5, f"{long} {items[0][1]} {long} {items[2][1]}"), (6, items[0][1]), (6, items[0][1]), (7, long)], "doc_id bigint, text string")
+    got = [tuple(r) for r in d.report(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()]
+    assert sorted((i, k) for i, k, *_ in got if k is not None) == [(5, 1), (5, 2), (6, 1), (6, 1), (6, 2), (6, 2)]
+    assert [(i, a, b) for i, k, a, b, *_ in got if k is None] == [(5, a, b) for i, k, a, b, *_ in got if k is None] and len([1 for _, k, *_ in got if k is None]) == 1
+    (start, end), = [(a, b) for i, k, a, b, *_ in got if (i, k) == (5, 1)]
+    assert start <= 150_000 < end
