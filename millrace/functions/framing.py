@@ -107,6 +107,31 @@ def members(data):
         at = row["trailer_offset"] + TRAILER
 
 
+def stream(read, at: int, size: int, step: int = 1 << 18):
+    """Decoded pieces of the members from a place of a file on, read as they are asked for. read(place,
+    n) gives bytes of the file, size is its length."""
+    while at < size:
+        end = at + header(read(at, 1 << 17))[0]
+        engine, crc, n = zlib.decompressobj(-15), 0, 0
+        while not engine.eof:
+            part = read(end, step)
+            if not part:
+                raise GzError("Truncated", "body")
+            try:
+                raw = engine.decompress(part)
+            except zlib.error as why:
+                raise GzError("Deflate", str(why)) from None
+            crc, n, end = zlib.crc32(raw, crc), n + len(raw), end + len(part)
+            yield raw
+        end -= len(engine.unused_data)
+        trailer = read(end, TRAILER)
+        if len(trailer) < TRAILER:
+            raise GzError("Truncated", "trailer")
+        if struct.unpack("<II", trailer) != (crc, n & 0xFFFFFFFF):
+            raise GzError("CrcMismatch" if struct.unpack("<II", trailer)[0] != crc else "IsizeMismatch", f"at {at}")
+        at = end + TRAILER
+
+
 def compressed(raw: bytes, level: int = 6, extra: bytes = b"") -> bytes:
     """One gzip member, for writing."""
     engine = zlib.compressobj(level, zlib.DEFLATED, -15)

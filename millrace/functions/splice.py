@@ -19,13 +19,14 @@ from millrace.functions.framing import TRAILER, GzError, header
 WINDOW = 1 << 15
 _PLACE = np.arange(WINDOW)
 DICTIONARIES = [(_PLACE & 255).astype(np.uint8).tobytes(), (_PLACE >> 8).astype(np.uint8).tobytes(), ((_PLACE & 255) ^ 255).astype(np.uint8).tobytes()]
+_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
 _FIXED, _FINAL = 0b10, 0b11  # empty blocks with fixed codes, 10 bits
 
 
 def _dynamic() -> int:
     """An empty block with dynamic codes: 93 bits."""
     bits = [(0, 1), (2, 2), (0, 5), (0, 5), (15, 4)]
-    bits += [(1 if symbol in (1, 18) else 0, 3) for symbol in (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)]
+    bits += [(1 if symbol in (1, 18) else 0, 3) for symbol in _ORDER]
     bits += [(1, 1), (127, 7), (1, 1), (107, 7), (0, 1), (0, 1), (0, 1)]
     value = at = 0
     for v, n in bits:
@@ -126,7 +127,22 @@ def resolved(chunk_data: bytes, places: np.ndarray, sources: np.ndarray, window:
     return own.tobytes()
 
 
-_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
+def after(window: np.ndarray, tail: bytes, places: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """The window behind a chunk's tail, from that before it. Values are bytes, or 256 and the place in
+    a window further back that a byte is copied from."""
+    own = np.frombuffer(tail, np.uint8).astype(np.uint16)
+    own[places] = window[sources]
+    return np.concatenate([window, own])[-WINDOW:]
+
+
+def filled(window: np.ndarray, before: bytes) -> bytes:
+    """A window of values as bytes, given the window (whole, or all there is) that its copies come from."""
+    missing = WINDOW - len(before)
+    known = np.frombuffer(bytes(missing) + before, np.uint8)
+    out = np.where(window < 256, window, known[np.maximum(window.astype(np.int64) - 256, 0)]).astype(np.uint8)
+    # what would come from before the file's start is left out; a copy of it fails where it is resolved
+    start = int(np.argmax(~((window >= 256) & (window < 256 + missing)))) if ((window < 256) | (window >= 256 + missing)).any() else WINDOW
+    return out[start:].tobytes()
 
 
 def find_block(data: bytes, start: int, stop: int, base: int = 0, trial: int = 8192) -> int | None:

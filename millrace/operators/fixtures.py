@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import framing
+from millrace.plans.parallel import opened
 
 
 def path_of(key: str, rows: int) -> Column:
@@ -86,6 +90,46 @@ def one_file(lines: DataFrame, folder: str) -> str:
     return lines.sparkSession.read.text(path).inputFiles()[0]
 
 
+def created(path: str):
+    """A file to write at a path that executors can open."""
+    where = urlparse(path)
+    system, name = (pafs.LocalFileSystem(), where.path or path) if where.scheme in ("", "file") else pafs.FileSystem.from_uri(path)
+    system.create_dir(name.rsplit("/", 1)[0])
+    return system.open_output_stream(name, compression=None)
+
+
+def saved(files: DataFrame, folder: str) -> str:
+    """Writes each file (path, content) into a new folder, where its row is, and returns the folder."""
+    target = f"{folder}/files-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with created(f"{target}/{path}.gz") as f:
+                    f.write(content)
+            yield batch.select(["path"])
+
+    files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    return target
+
+
+def again_compressed(spark: SparkSession, path: str) -> str:
+    """Writes the bytes of a file as one gzip member beside it. One task writes: it is one stream."""
+    target = f"{path}.again.gz"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with opened(path) as f, created(target) as out:
+                engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+                while part := f.read(1 << 20):
+                    out.write(engine.compress(part))
+                out.write(engine.flush())
+            yield batch
+
+    spark.range(0, 1, 1, 1).mapInArrow(run, "id bigint").write.format("noop").mode("overwrite").save()
+    return target
+
+
 def joined_lines(decoded: DataFrame) -> DataFrame:
     """value: lines from gz_bytes rows (path, seq, bytes). A line that runs over rows is put together
     from the end of one row and the start of the next ones: only these ends are gathered by path."""

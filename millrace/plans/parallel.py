@@ -5,8 +5,8 @@ chunks    starts and the following start
 check     a chunk whose end is not a block's end had a false start after it: that start is dropped,
           the chunk goes on to the next one and is decoded again. After each failure of the same
           chunk twice as many starts are dropped, so that long false stretches take few rounds
-windows   the last 32 KiB of each chunk, resolved in file order by one streaming task per file: it
-          reads tails and their open copies only, never the chunks
+windows   the last 32 KiB of each chunk: FAN chunks at a time are composed to a map from the window
+          before them to that after them; maps are resolved in file order, then the chunks within
 bytes     chunks joined with their windows, resolved, with a CRC32 of each member's part
 verify    the parts' CRC32s combined per member and compared with the trailers
 
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from millrace.functions import splice
 from millrace.functions.checksums import combined
 from millrace.functions.framing import GzError, header
-from millrace.shared import written
+from millrace.shared import drop_written, written
 
 CHUNK = 4 << 20
 LEAST_CHUNK = 64 << 10
+FAN = 64
 _SPEC = "path string, start_bit bigint, end_bit bigint, bytes binary, places array<bigint>, sources array<bigint>, members array<struct<at:bigint,crc:bigint,isize:bigint>>, error string, tries int"
 
 
@@ -128,7 +129,8 @@ def speculated(spark: SparkSession, path: str, chunk_size: int = CHUNK) -> tuple
 
 
 def windows(spec: DataFrame) -> DataFrame:
-    """path, chunk_id, window: the bytes before each chunk (at most 32 KiB)."""
+    """path, chunk_id, window: the bytes before each chunk (at most 32 KiB). What FAN chunks make of
+    the window before them is one map, and maps compose: only maps pass through one task per file."""
     n = F.length("bytes")
     from_ = F.greatest(n - splice.WINDOW, F.lit(0))
     tail = F.struct("places", "sources")
@@ -137,23 +139,61 @@ def windows(spec: DataFrame) -> DataFrame:
     near = F.filter(F.arrays_zip("open.places", "open.sources"), lambda x: x["places"] >= F.col("from"))
     rows = rows.select("path", "chunk_id", "tail", F.transform(near, lambda x: x["places"] - F.col("from")).alias("places"), F.transform(near, lambda x: x["sources"]).alias("sources"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each part the map from the window before it to the window after it."""
+        now, whole = None, np.zeros(0, np.uint16)
+        for batch in batches:
+            done = []
+            for path, part, tail, places, sources in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "tail", "places", "sources"))):
+                if (path, part) != now:
+                    if now:
+                        done.append((*now, whole.tobytes()))
+                    now, whole = (path, part), 256 + np.arange(splice.WINDOW, dtype=np.uint16)
+                whole = splice.after(whole, tail, np.array(places, np.int64), np.array(sources, np.int64))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.int64(), pa.binary()))], names=["path", "part", "map"])
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([whole.tobytes()], pa.binary())], names=["path", "part", "map"])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The window before each part, in file order."""
         now, window = None, b""
         for batch in batches:
             out = []
-            for path, _, tail, places, sources in zip(*(c.to_pylist() for c in batch.columns)):
+            for path, _, whole in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "map"))):
                 if path != now:
                     now, window = path, b""
                 out.append(window)
+                window = splice.filled(np.frombuffer(whole, np.uint16), window)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["path", "part", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, window = None, b""
+        for batch in batches:
+            keys, out = [], []
+            for path, part, chunk, tail, places, sources, first in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "chunk_id", "tail", "places", "sources", "first"))):
+                if chunk is None:
+                    now, window = (path, part), first
+                    continue
+                keys.append((path, chunk))
+                out.append(window)
                 own = splice.resolved(tail, np.array(places, np.int64), np.array(sources, np.int64), window)
                 window = (window + own)[-splice.WINDOW :]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["path", "chunk_id", "window"])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array(out, pa.binary())], names=["path", "chunk_id", "window"])
 
-    return rows.repartition("path").sortWithinPartitions("path", "chunk_id").mapInArrow(run, "path string, chunk_id bigint, window binary")
+    rows = written(rows.withColumn("part", F.floor(F.col("chunk_id") / FAN)), "tails")
+    key = ["path", "part"]
+    whole = rows.repartition(*key).sortWithinPartitions(*key, "chunk_id").mapInArrow(maps, "path string, part bigint, map binary")
+    first = whole.repartition("path").sortWithinPartitions(*key).mapInArrow(firsts, "path string, part bigint, first binary")
+    # a part's first window comes before its chunks
+    both = rows.unionByName(first, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("chunk_id"))
+    return both.mapInArrow(run, "path string, chunk_id bigint, window binary")
 
 
-def parallel_bytes(spark: SparkSession, path: str, chunk_size: int = CHUNK) -> tuple[DataFrame, DataFrame, int]:
-    """gz_bytes (path, seq, bytes), the members with their checks, and the number of false starts."""
+def parallel_bytes(spark: SparkSession, path: str, chunk_size: int = CHUNK, mode: str = "FAILFAST") -> tuple[DataFrame, DataFrame, int]:
+    """gz_bytes (path, seq, bytes), the members with their checks, and the number of false starts. In
+    mode FAILFAST a member whose CRC32 or length is not that of its trailer is an error, else its row says so."""
     spec, failures = speculated(spark, path, chunk_size)
     spec = written(spec, "chunks")
     both = spec.join(written(windows(spec), "windows"), ["path", "chunk_id"])
@@ -183,4 +223,16 @@ def parallel_bytes(spark: SparkSession, path: str, chunk_size: int = CHUNK) -> t
         "path", "member_index", "crc32_expected", "isize_expected", F.col("crc").alias("crc32_actual"), F.col("length").alias("raw_length"),
         (F.col("crc") == F.col("crc32_expected")).alias("crc_ok"), (F.col("length") % (1 << 32) == F.col("isize_expected")).alias("isize_ok"),
     )
+    members = written(members, "members")
+    if mode == "FAILFAST":
+        bad = members.where("NOT crc_ok OR NOT isize_ok").agg(F.min(F.struct("member_index", "crc_ok")).alias("it")).first()["it"]
+        if bad:
+            raise GzError("IsizeMismatch" if bad["crc_ok"] else "CrcMismatch", f"member {bad['member_index']}")
+    drop_written(spec)
     return out.select("path", "seq", "bytes"), members, failures
+
+
+def parallel_stats(out: DataFrame, members: DataFrame, failures: int) -> DataFrame:
+    """path, uncompressed_bytes, chunks_decoded, members, speculation_failures of what parallel_bytes gave."""
+    sizes = out.groupBy("path").agg(F.sum(F.length("bytes")).alias("uncompressed_bytes"), F.count(F.lit(1)).alias("chunks_decoded"))
+    return sizes.join(members.groupBy("path").agg(F.count(F.lit(1)).alias("members")), "path").withColumn("speculation_failures", F.lit(failures).cast("bigint"))

@@ -3,13 +3,14 @@ Spark jobs, decodes it by the operators here and aggregates what comes out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.checksums import combined
 from millrace.operators import fixtures, members
-from millrace.plans.parallel import parallel_bytes
+from millrace.plans.parallel import parallel_bytes, parallel_stats
 from millrace.shared import shared_dir, table, written
+from millrace.sources.pgz import PgzSource
 
 
 def members_lang_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +85,51 @@ def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    twice = members.compressed(members.compressed(docs, "raw", "a"), "a", "b").select("doc_id", "b")
-    back = members.decompressed(members.decompressed(twice, "b", "c"), "c", "d")
-    return back.select("doc_id", F.sha2("d", 256).alias("sha"))
+    """lineitem as one .gz file within another .gz file: the outer one holds blocks that look like its
+    own, so starts found there are dropped and their chunks decoded again (restarted)."""
+    inner = fixtures.one_file(table(spark, sf_dir, "lineitem").select(F.to_json(F.struct("*")).alias("value")), shared_dir(spark))
+    out, checks, failures = parallel_bytes(spark, fixtures.again_compressed(spark, inner), 64 << 10)
+    files = out.groupBy("path").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq)").alias("content"))
+    rows = members.gz_lines(files).select(F.from_json("value", "l_returnflag string, l_quantity double").alias("r")).select("r.*")
+    counted = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("int")).alias("quantity"))
+    stats = parallel_stats(out, checks, failures).select((F.col("speculation_failures") > 0).alias("restarted"), F.col("members").alias("outer_members"))
+    return counted.crossJoin(F.broadcast(stats))  # one row
+
+
+def _pgz(spark: SparkSession, folder: str, table_: str, **options) -> DataFrame:
+    spark.dataSource.register(PgzSource)
+    return spark.read.format("pgz").option("table", table_).options(**options).load(folder)
+
+
+def _file_name() -> Column:
+    return F.regexp_extract("path", r"([^/]*)\.gz$", 1)
+
+
+def pgz_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in BGZF files, read by the data source in several ranges a file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))
+    found = _pgz(spark, fixtures.saved(fixtures.bgzf_files(docs, "doc_id", "line", 500), shared_dir(spark)), "members", chunkSize=64 << 10)
+    return found.groupBy(_file_name().alias("path")).agg(
+        F.count(F.lit(1)).alias("members"), (F.max("member_index") + 1).cast("bigint").alias("numbered"), F.count_distinct("member_index").alias("numbers"), F.sum("raw_length").alias("octets")
+    )
+
+
+def pgz_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as NDJSON in BGZF files, back as lines over several ranges a file."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.to_json(F.struct("page_id", "url", "html")).alias("line"))
+    lines = _pgz(spark, fixtures.saved(fixtures.bgzf_files(pages, "page_id", "line", 1000), shared_dir(spark)), "lines", numPartitions=16)
+    rows = lines.select(F.from_json("value", "page_id bigint, url string, html string").alias("r")).select("r.*")
+    return rows.groupBy((F.col("page_id") % 7).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"), F.max("url").alias("last_url"))
+
+
+def pgz_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member files, every other one with zeros behind its last member: what counts before the error."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))
+    files = fixtures.member_files(docs, "doc_id", "line", 100)
+    odd = F.substring_index("path", "-", -1).cast("bigint") % 2 == 1
+    broken = files.withColumn("content", F.when(odd, F.concat("content", F.lit(bytearray(4)))).otherwise(F.col("content")))
+    found = _pgz(spark, fixtures.saved(broken, shared_dir(spark)), "members", mode="PERMISSIVE")
+    return found.groupBy(_file_name().alias("path")).agg(F.count("raw_length").alias("members"), F.sum("raw_length").alias("octets"), F.coalesce(F.max("error"), F.lit("ok")).alias("error"))
 
 
 def compressed_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +152,7 @@ def single_member_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("verified", F.lit(good))
 
 
-QUERIES = [members_lang_count, member_decode, multi_member_concat, bgzf_split, bgzf_then_gzip, crc_verify, file_stats, event_lines, error_rows, nested_gzip, compressed_join_agg, single_member_parallel]
+QUERIES = [members_lang_count, member_decode, multi_member_concat, bgzf_split, bgzf_then_gzip, crc_verify, file_stats, event_lines, error_rows, nested_gzip, compressed_join_agg, single_member_parallel, pgz_members, pgz_lines, pgz_permissive]
 
 _FILE = "'file-' || CAST({key} // {n} AS VARCHAR)"
 
@@ -124,9 +166,12 @@ SQL = {
     "file_stats": f"SELECT {_FILE.format(key='doc_id', n=100)} AS path, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS uncompressed_bytes, count(*) AS members, true AS smaller FROM documents GROUP BY 1",
     "event_lines": "SELECT event_type, count(*) AS n, CAST(sum(length(CAST(event_id AS VARCHAR)) + length(CAST(user_id AS VARCHAR)) + length(event_type) + 2) AS BIGINT) AS chars FROM events GROUP BY event_type",
     "error_rows": "SELECT doc_id, ['ok','BadMagic','UnsupportedMethod','ReservedFlags','Truncated','CrcMismatch','IsizeMismatch','CrcMismatch','Truncated'][1 + doc_id % 9] AS error FROM documents",
-    "nested_gzip": "SELECT doc_id, sha256(text) AS sha FROM documents",
+    "nested_gzip": "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity, true AS restarted, CAST(1 AS BIGINT) AS outer_members FROM lineitem GROUP BY l_returnflag",
     "compressed_join_agg": "SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(12, 2))) AS BIGINT) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderstatus",
     "single_member_parallel": "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity, true AS verified FROM lineitem GROUP BY l_returnflag",
+    "pgz_members": f"SELECT path, CAST(sum(blocks) AS BIGINT) AS members, CAST(sum(blocks) AS BIGINT) AS numbered, CAST(sum(blocks) AS BIGINT) AS numbers, CAST(sum(octets) AS BIGINT) AS octets FROM (SELECT {_FILE.format(key='doc_id', n=500)} AS path, octet_length(encode(text)) + 1 AS octets, ceil((octet_length(encode(text)) + 1) / 48000.0) AS blocks FROM documents) GROUP BY path",
+    "pgz_lines": "SELECT page_id % 7 AS bucket, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars, max(url) AS last_url FROM pages GROUP BY 1",
+    "pgz_permissive": f"SELECT {_FILE.format(key='doc_id', n=100)} AS path, count(*) AS members, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS octets, CASE WHEN min(doc_id // 100) % 2 = 1 THEN 'Truncated' ELSE 'ok' END AS error FROM documents GROUP BY 1",
 }
 
 

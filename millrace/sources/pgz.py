@@ -3,15 +3,22 @@
 spark.dataSource.register(PgzSource); spark.read.format("pgz").option("table", t).load(path) with
 table members, bytes, files or lines. path is a file, a folder or a glob that the driver and the
 executors can open (a mounted path or a URI of pyarrow's file systems). Options: chunkSize
-(compressed bytes per task of a BGZF file, at least 64 KiB), mode (FAILFAST, or PERMISSIVE, which reads
-each file in one task: the members before its first invalid one count), pushFilters
-(true: equality on path picks files; needs spark.sql.python.filterPushdown.enabled). For
-stores that only Spark reads, use binaryFile with millrace.operators.members instead."""
+(compressed bytes per task of a BGZF file, at least 64 KiB), numPartitions (about so many tasks, which
+sets chunkSize by the files' sizes), mode (FAILFAST, or PERMISSIVE, which reads each file in one task:
+the members before its first invalid one count), pushFilters (true: equality on path picks files;
+needs spark.sql.python.filterPushdown.enabled).
+
+A line belongs to the range in which it starts: a range leaves out what stands before its first line
+end and reads on behind its end up to the next. Ranges are found by hopping over BGZF headers while
+planning, several files at a time; members, rows and bytes before each range come from the trailers.
+For one large member over many tasks there is millrace.plans.parallel; for stores that only Spark
+reads, use binaryFile with millrace.operators.members instead."""
 
 from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,6 +30,7 @@ from millrace.plans.parallel import LEAST_CHUNK, opened, read_range
 
 SCHEMAS = {"members": MEMBERS, "bytes": BYTES, "files": FILES, "lines": "path string, value string"}
 _HOP = 1 << 12
+_PLANNERS = 32
 
 
 @dataclass
@@ -89,34 +97,35 @@ class PgzReader(DataSourceReader):
         self.table = options.get("table", "bytes")
         self.path = options["path"]
         self.chunk = max(int(options.get("chunkSize", 4 << 20)), LEAST_CHUNK)
+        self.tasks = int(options.get("numPartitions", 0))
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.only = None
 
     def partitions(self):
         files = [p for p in listed(self.path) if self.only is None or p == self.only]
-        if self.table in ("files", "lines"):  # a file's kind is one row; lines run over blocks
-            return [Range(p, 0, -1) for p in files]
-        if self.permissive:  # nothing behind a file's first error counts, which other tasks can't know
+        # a file's kind is one row; and nothing behind a file's first error counts, which other tasks can't know
+        if self.table == "files" or self.permissive:
             return [Range(p, 0, -1) for p in files]
-        return [r for p in files for r in ranges(p, self.chunk)]
+        with ThreadPoolExecutor(_PLANNERS) as pool:
+            chunk = max(LEAST_CHUNK, -(-sum(pool.map(_size, files)) // self.tasks)) if self.tasks else self.chunk
+            return [r for found in pool.map(lambda p: ranges(p, chunk), files) for r in found]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        data = read_range(part.path, part.start, None if part.stop < 0 else part.stop)
         schema, rows = SCHEMAS[self.table], []
         if self.table == "files":
-            kinds = {r.start: r for r in ranges(part.path, LEAST_CHUNK)}
-            yield _arrow([{"path": part.path, "length": len(data), "kind": _kind(part.path, len(data), kinds)}], schema)
+            size, kinds = _size(part.path), {r.start: r for r in ranges(part.path, LEAST_CHUNK)}
+            yield _arrow([{"path": part.path, "length": size, "kind": _kind(part.path, size, kinds)}], schema)
             return
+        if self.table == "lines":
+            yield from _lines(part, self.permissive)
+            return
+        data = read_range(part.path, part.start, None if part.stop < 0 else part.stop)
         index, seq, offset = part.index, part.seq, part.offset
-        rest = b""
         try:
             for raw, row in framing.members(data):
                 if self.table == "members":
                     moved = {k: row[k] + part.start for k in ("header_offset", "body_offset", "trailer_offset")}
                     rows.append({"path": part.path, "member_index": index} | row | moved)
-                elif self.table == "lines":
-                    *lines, rest = (rest + raw).split(b"\n")
-                    rows += [{"path": part.path, "value": x.decode("utf-8", "replace")} for x in lines]
                 else:
                     for at in range(0, len(raw), ROW):
                         rows.append({"path": part.path, "seq": seq, "raw_offset": offset, "bytes": raw[at : at + ROW]})
@@ -133,12 +142,52 @@ class PgzReader(DataSourceReader):
                 raise
             if self.table == "members":
                 rows.append({"path": part.path, "member_index": index, "error": why.kind})
-        if rest:
-            rows.append({"path": part.path, "value": rest.decode("utf-8", "replace")})
         if rows:
             yield _arrow(rows, schema)
 
 
+def _size(path: str) -> int:
+    with opened(path) as f:
+        return f.size()
+
+
+def _lines(part: Range, permissive: bool) -> Iterator[pa.RecordBatch]:
+    """The lines that start in a range, but for its first unless it starts the file, and the line that
+    starts where it ends or runs over its end."""
+    rest, skip = b"", part.start > 0
+    with opened(part.path) as f:
+        size = f.size()
+        stop = size if part.stop < 0 else part.stop
+
+        def told(values: list[bytes]) -> pa.RecordBatch:
+            return _arrow([{"path": part.path, "value": x.decode("utf-8", "replace")} for x in values], SCHEMAS["lines"])
+
+        try:
+            data = f.read_at(stop - part.start, part.start)
+            for raw, _ in framing.members(data):
+                *lines, rest = (rest + raw).split(b"\n")
+                if lines and skip:
+                    del lines[0]
+                    skip = False
+                if skip:
+                    rest = b""
+                if lines:
+                    yield told(lines)
+            if skip:  # one line runs over the whole range: it belongs to a range before
+                return
+            for raw in framing.stream(lambda at, n: f.read_at(min(n, size - at), at), stop, size):
+                end = raw.find(b"\n")
+                rest += raw if end < 0 else raw[:end]
+                if end >= 0:
+                    yield told([rest])
+                    return
+        except framing.GzError:
+            if not permissive:
+                raise
+        if rest:
+            yield told([rest])
+
+
 class PgzFilteringReader(PgzReader):
     def pushFilters(self, filters):
         """Equality on path picks files while planning."""

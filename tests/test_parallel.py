@@ -69,10 +69,10 @@ def test_a_copy_from_before_the_start():
         splice.resolved(b"abc", np.array([1]), np.array([5]), b"short")
 
 
-def run(spark, tmp_path, data, chunk=64 << 10):
+def run(spark, tmp_path, data, chunk=64 << 10, **options):
     path = tmp_path / "x.gz"
     path.write_bytes(data)
-    out, members, failures = parallel_bytes(spark, str(path), chunk)
+    out, members, failures = parallel_bytes(spark, str(path), chunk, **options)
     rows = sorted((r["seq"], bytes(r["bytes"])) for r in out.collect())
     checks = sorted(members.select("member_index", "crc_ok", "isize_ok", "raw_length").collect())
     return b"".join(b for _, b in rows), checks, failures, len(rows)
@@ -102,7 +102,9 @@ def test_small_and_damaged(spark, tmp_path):
     assert run(spark, tmp_path, framing.compressed(b"A"))[0] == b"A"
     bad = bytearray(framing.compressed(words(300_000)))
     bad[-6] ^= 1
-    assert not run(spark, tmp_path, bytes(bad))[1][0]["crc_ok"]
+    assert not run(spark, tmp_path, bytes(bad), mode="PERMISSIVE")[1][0]["crc_ok"]
+    with pytest.raises(GzError, match="CrcMismatch"):
+        run(spark, tmp_path, bytes(bad))
     with pytest.raises(GzError):
         run(spark, tmp_path, framing.compressed(words(300_000)) + b"\0" * 100)
 
@@ -112,3 +114,25 @@ def test_system_gzip(spark, tmp_path):
     (tmp_path / "plain").write_bytes(raw)
     data = subprocess.run(["gzip", "-c", "-9", str(tmp_path / "plain")], capture_output=True, check=True).stdout
     assert gzip.decompress(data) == raw == run(spark, tmp_path, data)[0]
+
+
+def test_windows_over_many_parts(spark, tmp_path, monkeypatch):
+    """Windows composed in parts of three chunks; the text's copies reach over many chunks."""
+    monkeypatch.setattr("millrace.plans.parallel.FAN", 3)
+    raw = words(1_200_000, 7)
+    got, checks, _, chunks = run(spark, tmp_path, framing.compressed(b"xy") + framing.compressed(raw))
+    assert got == b"xy" + raw and chunks > 6 and [c["raw_length"] for c in checks] == [2, len(raw)]
+
+
+def test_composed_windows():
+    rng = np.random.default_rng(4)
+    for before in (b"", rng.bytes(100), rng.bytes(splice.WINDOW)):
+        whole, window = 256 + np.arange(splice.WINDOW, dtype=np.uint16), before
+        for n in (10, 40_000, 5, 3000):
+            tail = rng.bytes(n)[-splice.WINDOW :]
+            places = np.sort(rng.choice(len(tail), min(len(tail), 4), replace=False))
+            sources = rng.integers(splice.WINDOW - max(1, len(window)), splice.WINDOW, len(places)) if window else np.zeros(0, np.int64)
+            places = places[: len(sources)]
+            whole = splice.after(whole, tail, places, sources)
+            window = (window + splice.resolved(tail, places, sources, window))[-splice.WINDOW :]
+        assert splice.filled(whole, before) == window

@@ -110,3 +110,24 @@ def test_nothing_behind_the_first_error(spark, tmp_path):
     assert whole(load(spark, tmp_path, "bytes", mode="PERMISSIVE", chunkSize=65536)) == whole(members.gz_bytes(files, "PERMISSIVE")) == {"bad.gz": TEXT[:18000]}
     with pytest.raises(Exception, match="CrcMismatch"):
         load(spark, tmp_path, "bytes", chunkSize=65536).collect()
+
+
+def lines_of(df):
+    return sorted(r["value"] for r in df.collect())
+
+
+@pytest.mark.parametrize("text", [TEXT * 3, b"x" * 700_000 + b"\n" + TEXT, b"\n" * 1000 + TEXT, TEXT[:-1], b"a\n\n" * 90_000, b"no end" * 100_000])
+def test_lines_over_ranges(spark, tmp_path, text):
+    (tmp_path / "a.gz").write_bytes(framing.bgzf(text, 4000, 0))
+    (tmp_path / "b.gz").write_bytes(framing.bgzf(text, 4001, 0, end=False) + framing.compressed(b"tail\nmore"))
+    df = load(spark, tmp_path, "lines", chunkSize=65536)
+    assert df.rdd.getNumPartitions() > 6
+    want = [x.decode() for whole in (text, text + b"tail\nmore") for x in whole.removesuffix(b"\n").split(b"\n")]
+    assert lines_of(df) == sorted(want) == lines_of(members.gz_lines(spark.read.format("binaryFile").load(str(tmp_path))))
+
+
+def test_number_of_partitions(spark, tmp_path):
+    (tmp_path / "a.gz").write_bytes(framing.bgzf(TEXT * 4, 4000, 0))
+    for n in (2, 5, 9):
+        df = load(spark, tmp_path, "bytes", numPartitions=n)
+        assert n - 1 <= df.rdd.getNumPartitions() <= n + 1 and whole(df) == {"a.gz": TEXT * 4}
