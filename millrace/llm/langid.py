@@ -10,7 +10,9 @@ The model is fitted on a bounded sample of labelled rows: about MAX_TRAIN rows,
 among the languages, chosen by a hash of doc_id. Everything else covers all rows and whole texts.
 
 Defined cases: a null text, or one without a letter, gives `und`, score 0 and rejected; with no
-learnable row every text gives `und`; repeated rows get equal results; an empty table stays empty.
+learnable row every text gives `und`; very long texts are counted whole; of centroids with equal
+cosines the first counts, by language and cluster; repeated rows get equal results; an empty table
+stays empty; predict() passes other columns on and replaces those named like its outputs.
 """
 
 from __future__ import annotations
@@ -97,13 +99,13 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
         return make
 
     ints = T.ArrayType(T.IntegerType())
-    rows = add_columns(sample, [T.StructField("gram", ints), T.StructField("n", ints)], maker).select(lang, "gram", "n").limit(2 * max_train).collect()
+    rows = add_columns(sample, [T.StructField("gram", ints), T.StructField("n", ints)], maker).select(lang, "gram", "n").limit(2 * max_train).toArrow()
     matrix = np.zeros((len(rows), DIMS), np.float32)
-    for i, r in enumerate(rows):
-        matrix[i, r["gram"]] = r["n"]
+    for i, (gram, n) in enumerate(zip(rows["gram"], rows["n"])):
+        matrix[i, gram.values.to_numpy()] = n.values.to_numpy()
     idf = (np.log((1 + len(rows)) / (1 + (matrix > 0).sum(axis=0))) + 1).astype(np.float32)
     matrix = unit(np.log1p(matrix) * idf)
-    of = np.array([r[lang] for r in rows])
+    of = np.array(rows[lang].to_pylist())
     langs, centroids, radii = [], [], []
     for name in sorted(set(of.tolist())):
         own = matrix[of == name]

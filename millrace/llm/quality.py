@@ -15,8 +15,9 @@ Hosts and paths may be as skewed as they like: they are only ever grouped by par
 
 Defined cases: a null text counts as empty (its shape features say so); null hosts and paths are
 sites of their own; labels for unknown documents, with nulls or repeated are harmless (a document is
-toxic if any row says so, else junk if any row says so); without any labelled document evidence is
-neutral and everything is kept; repeated rows are judged alike; an empty table stays empty; clashing
+toxic if any row says so, else junk if any row says so, and so is a text that stands in several labelled
+documents); very long texts are read whole, as a set of words; features of equal score are chosen by
+name; without any labelled document evidence is neutral and everything is kept; repeated rows are judged alike; an empty table stays empty; clashing
 columns are replaced.
 """
 
@@ -117,7 +118,8 @@ def calibrated(raw: np.ndarray, label: np.ndarray, rounds: int = 200, ridge: flo
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Evidence:
     # at most max_labelled rows of two numbers: small enough to broadcast whatever the corpus
     sample = label_classes(labels, key).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    shown = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").dropDuplicates(["_text"])
+    joined = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    shown = joined.groupBy("_text").agg(F.min("_id").alias("_id"), F.max("label").alias("label"))
     fifth = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(5))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +218,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     docs = unclashed(docs, ["_host", "_path", "p_good", "p_junk", "p_toxic", "site_good", "site_junk", "site_toxic", "host_good", "n_path", "kept", "l_junk", "l_toxic"])
     model = fit(docs, labels, key, text)
     placed = docs.withColumn("_host", host).withColumn("_path", path)
-    shrunk = written(sites(with_evidence(placed.select(text, "_host", "_path"), model, text), model, "_host", "_path"), "sites")
+    # texts are scored once: the scores are needed for the sites and, with them, for each document
+    evident = written(with_evidence(placed, model, text), "evident")
+    shrunk = written(sites(evident.select("_host", "_path", "l_junk", "l_toxic"), model, "_host", "_path"), "sites")
     there = shrunk.select(F.col("_host").alias("_sh"), F.col("_path").alias("_sp"), "site_good", "site_junk", "site_toxic", "host_good")
-    evident = with_evidence(placed, model, text)
     joined = evident.join(there, F.col("_host").eqNullSafe(F.col("_sh")) & F.col("_path").eqNullSafe(F.col("_sp")), "left")
     shares = [F.coalesce(f"site_{c}", F.lit(float(s))) for c, s in zip(CLASSES, model.shares)]
     good, junk, toxic = posterior(shares)
@@ -226,6 +229,19 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key
     return joined.select(*docs.columns, good.alias("p_good"), junk.alias("p_junk"), toxic.alias("p_toxic"), "site_good", "host_good", (~known | (good >= KEEP)).alias("kept"))
 
 
+def url_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1))
+
+
+def url_path(url: Column) -> Column:
+    """The host and the first folder of the path, which sites mostly are sorted by."""
+    return F.concat_ws("/", url_host(url), F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^/?#]+)/", 1))
+
+
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """classify() for the documents table: the host is the source, its paths are the languages."""
+    """classify() for the documents table. A url column gives hosts and paths. Where there is none, as in
+    the table given, what is nearest to them stands for them: the source for the host, and each
+    language's part of a source for a path. That third level is weak then, as a language is no path."""
+    if "url" in documents.columns:
+        return classify(documents, labels, url_host(F.col("url")), url_path(F.col("url")))
     return classify(documents, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
