@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session
-    has none (tests on one machine) a local temporary folder is made and kept in the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session on one machine that
+    has none gets a temporary folder, kept in the session; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("millrace.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("millrace.shared.dir", found)
     return found.rstrip("/")

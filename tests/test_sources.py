@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import framing
 from millrace.operators import members
+from millrace.shared import shared_dir
 from millrace.sources.pgz import PgzSource
 from millrace.streaming.folder import arriving
 
@@ -131,3 +132,19 @@ def test_number_of_partitions(spark, tmp_path):
     for n in (2, 5, 9):
         df = load(spark, tmp_path, "bytes", numPartitions=n)
         assert n - 1 <= df.rdd.getNumPartitions() <= n + 1 and whole(df) == {"a.gz": TEXT * 4}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), type("Context", (), {"master": master})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session("spark://host:7077"))
+    own = Session("local[2]")
+    assert shared_dir(own) == shared_dir(own)
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
