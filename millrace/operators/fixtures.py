@@ -131,7 +131,7 @@ def again_compressed(spark: SparkSession, path: str) -> str:
 
 
 def joined_lines(decoded: DataFrame) -> DataFrame:
-    """value: lines from gz_bytes rows (path, seq, bytes). A line that runs over rows is put together
+    """path, value: lines from gz_bytes rows (path, seq, bytes). A line that runs over rows is put together
     from the end of one row and the start of the next ones: only these ends are gathered by path."""
     text = decoded.select("path", "seq", F.col("bytes").alias("b"))
 
@@ -150,5 +150,7 @@ def joined_lines(decoded: DataFrame) -> DataFrame:
     # a line starts at each last part (kind 2), and at the very first row
     line = ends.withColumn("line", F.sum((F.col("kind") == 2).cast("int")).over(order))
     whole = line.groupBy("path", "line").agg(F.expr("listagg(value) WITHIN GROUP (ORDER BY seq, kind)").alias("value"))
-    values = whole.select(F.decode("value", "UTF-8").alias("value")).where("value <> ''")
-    return parts.where("kind = 0").select(F.decode("value", "UTF-8").alias("value")).unionByName(values)
+    # what stands behind the last line end is a line only if something does
+    last = F.max("line").over(Window.partitionBy("path")) == F.col("line")
+    values = whole.withColumn("last", last).where("NOT last OR octet_length(value) > 0")
+    return parts.where("kind = 0").select("path", "value").unionByName(values.select("path", "value")).select("path", F.decode("value", "UTF-8").alias("value"))

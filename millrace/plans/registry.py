@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions.checksums import combined
 from millrace.operators import fixtures, members
 from millrace.plans.parallel import parallel_bytes, parallel_stats
+from millrace.plans.reader import read_gz
 from millrace.shared import shared_dir, table, written
 from millrace.sources.pgz import PgzSource
 
@@ -152,7 +153,19 @@ def single_member_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("verified", F.lit(good))
 
 
-QUERIES = [members_lang_count, member_decode, multi_member_concat, bgzf_split, bgzf_then_gzip, crc_verify, file_stats, event_lines, error_rows, nested_gzip, compressed_join_agg, single_member_parallel, pgz_members, pgz_lines, pgz_permissive]
+def read_any_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as NDJSON in BGZF files, member files and files of one member, each read in its way."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "text")).alias("line"))
+    kind = lambda k: docs.where(F.col("doc_id") % 3 == k)
+    named = lambda files, name: files.select(F.concat(F.lit(name), "path").alias("path"), "content")
+    files = named(fixtures.bgzf_files(kind(0), "doc_id", "line", 5000), "blocks-").unionByName(named(fixtures.member_files(kind(1), "doc_id", "line", 500), "members-"))
+    files = files.unionByName(named(fixtures.member_files(kind(2), "doc_id", "line", 5000, single=True), "single-"))
+    lines = read_gz(spark, fixtures.saved(files, shared_dir(spark)), "lines", 64 << 10)
+    rows = lines.select(F.from_json("value", "doc_id bigint, lang string, text string").alias("r")).select("r.*")
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+QUERIES = [members_lang_count, member_decode, multi_member_concat, bgzf_split, bgzf_then_gzip, crc_verify, file_stats, event_lines, error_rows, nested_gzip, compressed_join_agg, single_member_parallel, pgz_members, pgz_lines, pgz_permissive, read_any_lines]
 
 _FILE = "'file-' || CAST({key} // {n} AS VARCHAR)"
 
@@ -171,6 +184,7 @@ SQL = {
     "single_member_parallel": "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity, true AS verified FROM lineitem GROUP BY l_returnflag",
     "pgz_members": f"SELECT path, CAST(sum(blocks) AS BIGINT) AS members, CAST(sum(blocks) AS BIGINT) AS numbered, CAST(sum(blocks) AS BIGINT) AS numbers, CAST(sum(octets) AS BIGINT) AS octets FROM (SELECT {_FILE.format(key='doc_id', n=500)} AS path, octet_length(encode(text)) + 1 AS octets, ceil((octet_length(encode(text)) + 1) / 48000.0) AS blocks FROM documents) GROUP BY path",
     "pgz_lines": "SELECT page_id % 7 AS bucket, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS chars, max(url) AS last_url FROM pages GROUP BY 1",
+    "read_any_lines": "SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang",
     "pgz_permissive": f"SELECT {_FILE.format(key='doc_id', n=100)} AS path, count(*) AS members, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS octets, CASE WHEN min(doc_id // 100) % 2 = 1 THEN 'Truncated' ELSE 'ok' END AS error FROM documents GROUP BY 1",
 }
 

@@ -5,13 +5,13 @@ table members, bytes, files or lines. path is a file, a folder or a glob that th
 executors can open (a mounted path or a URI of pyarrow's file systems). Options: chunkSize
 (compressed bytes per task of a BGZF file, at least 64 KiB), numPartitions (about so many tasks, which
 sets chunkSize by the files' sizes), mode (FAILFAST, or PERMISSIVE, which reads each file in one task:
-the members before its first invalid one count), pushFilters (true: equality on path picks files;
+the members before its first invalid one count), leaveOut (paths that are not read, one on each line), pushFilters (true: equality on path picks files;
 needs spark.sql.python.filterPushdown.enabled).
 
 A line belongs to the range in which it starts: a range leaves out what stands before its first line
 end and reads on behind its end up to the next. Ranges are found by hopping over BGZF headers while
 planning, several files at a time; members, rows and bytes before each range come from the trailers.
-For one large member over many tasks there is millrace.plans.parallel; for stores that only Spark
+millrace.plans.reader also decodes one large member by many tasks; for stores that only Spark
 reads, use binaryFile with millrace.operators.members instead."""
 
 from __future__ import annotations
@@ -99,10 +99,11 @@ class PgzReader(DataSourceReader):
         self.chunk = max(int(options.get("chunkSize", 4 << 20)), LEAST_CHUNK)
         self.tasks = int(options.get("numPartitions", 0))
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.left_out = set(options.get("leaveOut", "").split("\n"))
         self.only = None
 
     def partitions(self):
-        files = [p for p in listed(self.path) if self.only is None or p == self.only]
+        files = [p for p in listed(self.path) if p not in self.left_out and (self.only is None or p == self.only)]
         # a file's kind is one row; and nothing behind a file's first error counts, which other tasks can't know
         if self.table == "files" or self.permissive:
             return [Range(p, 0, -1) for p in files]

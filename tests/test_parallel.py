@@ -5,10 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import framing, splice
 from millrace.functions.framing import GzError
+from millrace.operators import members
 from millrace.plans.parallel import parallel_bytes
+from millrace.plans.reader import large_members, read_gz
 
 
 def ascii_noise(n, seed=0x9E3779B97F4A7C15):
@@ -136,3 +139,28 @@ def test_composed_windows():
             whole = splice.after(whole, tail, places, sources)
             window = (window + splice.resolved(tail, places, sources, window))[-splice.WINDOW :]
         assert splice.filled(whole, before) == window
+
+
+def test_any_file_is_read_in_its_way(spark, tmp_path):
+    text = words(900_000, 3).replace(b" a", b"\na").replace(b"\nab", b"\n\nab")
+    (tmp_path / "a.large.gz").write_bytes(framing.compressed(text))
+    (tmp_path / "b.bgzf.gz").write_bytes(framing.bgzf(text, 5000))
+    (tmp_path / "c.small.gz").write_bytes(framing.compressed(text[:1000]) + framing.compressed(b"tail\n"))
+    (tmp_path / "d.large.gz").write_bytes(framing.compressed(text[:500_000]) + framing.compressed(text[500_000:] + b"\n"))
+    assert [p.rsplit("/", 1)[1] for p in large_members(str(tmp_path), 64 << 10)] == ["a.large.gz", "d.large.gz"]
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    for table in ("bytes", "lines", "members"):
+        got = read_gz(spark, str(tmp_path), table, 64 << 10)
+        if table == "bytes":
+            whole = {}
+            for r in sorted(got.collect(), key=lambda r: (r["path"], r["seq"])):
+                whole[r["path"].rsplit("/", 1)[1]] = whole.get(r["path"].rsplit("/", 1)[1], b"") + bytes(r["bytes"])
+            assert whole == {"a.large.gz": text, "b.bgzf.gz": text, "c.small.gz": text[:1000] + b"tail\n", "d.large.gz": text + b"\n"}
+            continue
+        want = {"lines": members.gz_lines, "members": members.gz_members}[table](files)
+        columns = [c for c in got.columns if c != "path"]
+        assert sorted(map(tuple, got.select(name, *columns).collect())) == sorted(map(tuple, want.select(name, *columns).collect()))
+    stats = {r["path"].rsplit("/", 1)[1]: r for r in read_gz(spark, str(tmp_path), "stats", 64 << 10).collect()}
+    assert {k: (r["uncompressed_bytes"], r["members"]) for k, r in stats.items()} == {"a.large.gz": (len(text), 1), "b.bgzf.gz": (len(text), len(text) // 5000 + 2), "c.small.gz": (1005, 2), "d.large.gz": (len(text) + 1, 2)}
+    assert stats["a.large.gz"]["chunks_decoded"] > 2
