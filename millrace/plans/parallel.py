@@ -51,6 +51,11 @@ def read_range(path: str, start: int, stop: int | None) -> bytes:
         return f.read_at(max(0, stop - start), start)
 
 
+def _numbers(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each list of a column of lists, as it lies in Arrow's memory."""
+    return (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64) for x in column)
+
+
 def starts_of(spark: SparkSession, path: str, size: int, body: int, chunk_size: int) -> DataFrame:
     """path, start_bit: the body's first bit and the block starts found after each target."""
     n = -(-size // chunk_size)
@@ -77,7 +82,7 @@ def decoded(chunks: DataFrame, body: int) -> DataFrame:
                 base = start // 8
                 got = splice.decode(read_range(path, base, None if stop is None else -(-stop // 8)), start, stop, start == 8 * body, base)
                 ends = [{"at": at, "crc": crc, "isize": n} for at, crc, n in got.members]
-                row = [[path], [start], [stop], [got.data if not got.error else None], [got.places], [got.sources], [ends], [got.error], [tries]]
+                row = [[path], [start], [stop], [got.data if not got.error else None], [got.places if not got.error else []], [got.sources if not got.error else []], [ends], [got.error], [tries]]
                 types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(kind), pa.string(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["path", "start_bit", "end_bit", "bytes", "places", "sources", "members", "error", "tries"])
 
@@ -144,12 +149,12 @@ def windows(spec: DataFrame) -> DataFrame:
         now, whole = None, np.zeros(0, np.uint16)
         for batch in batches:
             done = []
-            for path, part, tail, places, sources in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "tail", "places", "sources"))):
+            for path, part, tail, places, sources in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "tail")), _numbers(batch.column("places")), _numbers(batch.column("sources"))):
                 if (path, part) != now:
                     if now:
                         done.append((*now, whole.tobytes()))
                     now, whole = (path, part), 256 + np.arange(splice.WINDOW, dtype=np.uint16)
-                whole = splice.after(whole, tail, np.array(places, np.int64), np.array(sources, np.int64))
+                whole = splice.after(whole, tail, places, sources)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.string(), pa.int64(), pa.binary()))], names=["path", "part", "map"])
         if now:
@@ -171,13 +176,13 @@ def windows(spec: DataFrame) -> DataFrame:
         now, window = None, b""
         for batch in batches:
             keys, out = [], []
-            for path, part, chunk, tail, places, sources, first in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "chunk_id", "tail", "places", "sources", "first"))):
+            for path, part, chunk, tail, first, places, sources in zip(*(batch.column(c).to_pylist() for c in ("path", "part", "chunk_id", "tail", "first")), _numbers(batch.column("places")), _numbers(batch.column("sources"))):
                 if chunk is None:
                     now, window = (path, part), first
                     continue
                 keys.append((path, chunk))
                 out.append(window)
-                own = splice.resolved(tail, np.array(places, np.int64), np.array(sources, np.int64), window)
+                own = splice.resolved(tail, places, sources, window)
                 window = (window + own)[-splice.WINDOW :]
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array(out, pa.binary())], names=["path", "chunk_id", "window"])
@@ -201,8 +206,8 @@ def parallel_bytes(spark: SparkSession, path: str, chunk_size: int = CHUNK, mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.struct([("ends", pa.bool_()), ("crc", pa.int64()), ("length", pa.int64()), ("expected", pa.int64()), ("isize", pa.int64())])
         for batch in batches:
-            for path, k, data, places, sources, ends, window in zip(*(batch.column(c).to_pylist() for c in ("path", "chunk_id", "bytes", "places", "sources", "members", "window"))):
-                raw = splice.resolved(data, np.array(places, np.int64), np.array(sources, np.int64), window)
+            for path, k, data, ends, window, places, sources in zip(*(batch.column(c).to_pylist() for c in ("path", "chunk_id", "bytes", "members", "window")), _numbers(batch.column("places")), _numbers(batch.column("sources"))):
+                raw = splice.resolved(data, places, sources, window)
                 at, pieces = 0, []
                 for e in ends:
                     pieces.append({"ends": True, "crc": zlib.crc32(raw[at : e["at"]]), "length": e["at"] - at, "expected": e["crc"], "isize": e["isize"]})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.checksums import combined
 from millrace.operators import fixtures, members
-from millrace.plans.parallel import parallel_bytes, parallel_stats
+from millrace.plans.parallel import opened, parallel_bytes, parallel_stats
 from millrace.plans.reader import read_gz
 from millrace.shared import shared_dir, table, written
 from millrace.sources.pgz import PgzSource
@@ -89,7 +89,10 @@ def nested_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as one .gz file within another .gz file: the outer one holds blocks that look like its
     own, so starts found there are dropped and their chunks decoded again (restarted)."""
     inner = fixtures.one_file(table(spark, sf_dir, "lineitem").select(F.to_json(F.struct("*")).alias("value")), shared_dir(spark))
-    out, checks, failures = parallel_bytes(spark, fixtures.again_compressed(spark, inner), 64 << 10)
+    outer = fixtures.again_compressed(spark, inner)
+    with opened(outer) as f:
+        chunk = max(64 << 10, f.size() // 6)
+    out, checks, failures = parallel_bytes(spark, outer, chunk)
     files = out.groupBy("path").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq)").alias("content"))
     rows = members.gz_lines(files).select(F.from_json("value", "l_returnflag string, l_quantity double").alias("r")).select("r.*")
     counted = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("int")).alias("quantity"))
