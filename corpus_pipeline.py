@@ -1,4 +1,10 @@
-"""Documents to tokens in five stages, each an operator of millrace.llm on all its predecessor kept."""
+"""Documents to tokens in five stages, each an operator of millrace.llm on all its predecessor kept.
+
+Each stage takes the columns of documents, whatever else docs has, and all but the last return them.
+Defined cases, for each stage: rows with a null doc_id, text, lang, source or n_chars are rows like any
+others (a null text counts as empty where it is scored or encoded, and stays null where it is passed on);
+repeated rows stay or go together; of documents with equal texts the smallest doc_id stays (near
+duplicates; null comes last); texts of any length are processed whole; an empty table stays empty."""
 
 from __future__ import annotations
 
@@ -15,22 +21,23 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject as junk or toxic."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality.judge(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that stand elsewhere before; n_chars follows."""
-    return lines.dedup_lines(docs).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, without the chunks of lines that stand elsewhere before; n_chars follows, null
+    for a null text."""
+    return lines.dedup_lines(docs.select(*COLUMNS)).select(*COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id."""
-    return jaccard.kept(docs)
+    return jaccard.kept(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
