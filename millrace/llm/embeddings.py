@@ -14,7 +14,9 @@ pairs: for each vector they give the number of links found, and one edge to its
 
 Defined cases: a null vector, one with a null, NaN or infinite component, of length zero or empty
 links with nothing; vectors of different lengths don't link; repeated rows are vectors of their own;
-rows with a null vec_id count as vectors but can't name a component; an empty table stays empty.
+rows with a null vec_id count as vectors but can't name a component; very long vectors are compared
+whole; of equal ids in a component the smallest names it, ties change nothing; an empty table stays empty;
+other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.shared import written
+from millrace.shared import drop_written, written
 
 COSINE = 0.95
 WIDTH = 1.9
@@ -152,7 +154,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     roots = components(found.select("cls", "root").distinct(), "cls", "root").withColumnRenamed("node", "cls")
     by_root = classes.select("cls", "rep", "m").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = by_root.join(smallest, "root").join(links, "cls", "left").select("cls", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    of_class = written(by_root.join(smallest, "root").join(links, "cls", "left").select("cls", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "component")
+    for done in (classes, signed, found):
+        drop_written(done)
     out = rows.select("vec_id", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

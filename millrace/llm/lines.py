@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrays import let
 from millrace.llm.batches import unclashed
-from millrace.shared import written
+from millrace.shared import drop_written, written
 
 #: Lines that a rolling hash covers, its bits that are skipped, and the divisor.
 RULES = [(3, 0, 4), (1, 0, 2), (1, 1, 2), (1, 2, 2)]
@@ -106,6 +106,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     hot = F.broadcast(counted.where(F.col("n") > limit).select("mark"))
     some = marks.join(hot, "mark", "left_anti").join(counted.where(F.col("n") <= limit).select("mark"), "mark").unionByName(marks.join(hot, "mark"))
     wanted = written(some.groupBy(_K, _H).agg(F.collect_set("at").alias(_AT)), "wanted")
+    drop_written(marks)
 
     looked = keyed.select(_K, _H, text).join(wanted.hint("merge"), [_K, _H])
     told = lambda lines: F.transform(_AT, lambda c: F.struct(c.alias("at"), F.array_join(_part(lines, c), "\n").alias("chunk")))
