@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,18 @@ def pieces(texts: list, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run within this sends at most so many rows at a time to Python: for wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
 def least_count(counted: DataFrame, most: int, n: str = "n") -> int | None:
     """A count that at most `most` rows of counted reach: the smallest such, in steps of a quarter
     of a power of two, of which the driver gets one row each. None if there is no such row."""

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import least_count, pieces
+from millrace.llm.batches import least_count, pieces, rows_a_batch
 from millrace.llm.components import components
 from millrace.llm.shingles import WordHashes, shingle_set
 from millrace.shared import drop_written, written
@@ -58,8 +58,9 @@ SIZE = 5
 SPARE = 8
 LONG = 48
 MAX_LONG = 1_000_000
-BLOCK = 2048
+BLOCK = 512
 SALTS = 32
+TEXT_PAIRS = 500
 _FLUSH = 3_000_000
 
 
@@ -294,27 +295,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         kept: dict[int, np.ndarray] = {}
+        held = 0
 
-        def own(cls: int, t: str) -> np.ndarray:
+        def own(cls: int, t: pa.Scalar) -> np.ndarray:
+            nonlocal held
             if cls not in kept:
-                if len(kept) > 200:
+                if held > 1_000_000:
                     kept.clear()
-                kept[cls] = shingle_set(hashes.of(t), size)
+                    held = 0
+                kept[cls] = shingle_set(hashes.of(t.as_py()), size)
+                held += len(kept[cls])
             return kept[cls]
 
-        for whole in batches:
-            for i, j in pieces(whole.column("tx").to_pylist(), 4_000_000):
-                a, b = [], []
-                for x, y, tx, ty in zip(*(whole.column(c).slice(i, j - i).to_pylist() for c in ("x", "y", "tx", "ty"))):
-                    small, large = sorted((own(x, tx), own(y, ty)), key=len)
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    shared = int((large[at] == small).sum())
-                    if SHARE_DEN * shared >= SHARE_NUM * (len(small) + len(large) - shared):
-                        a.append(x)
-                        b.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    links = written(both.mapInArrow(run, "a bigint, b bigint"), "links")
+        for batch in batches:
+            a, b = [], []
+            for x, y, tx, ty in zip(*(batch.column(c) for c in ("x", "y", "tx", "ty"))):
+                small, large = sorted((own(x.as_py(), tx), own(y.as_py(), ty)), key=len)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                shared = int((large[at] == small).sum())
+                if SHARE_DEN * shared >= SHARE_NUM * (len(small) + len(large) - shared):
+                    a.append(x.as_py())
+                    b.append(y.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    with rows_a_batch(docs.sparkSession, TEXT_PAIRS):
+        links = written(both.mapInArrow(run, "a bigint, b bigint"), "links")
     drop_written(texts)
     return links
 
