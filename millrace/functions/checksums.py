@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +48,29 @@ def combine(left: int, right: int, right_length: int) -> int:
     return left ^ right
 
 
-def _fold(keys: list[str]):
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        crc = length = 0
-        for c, n in zip(rows["crc"].tolist(), rows["length"].tolist()):
-            crc, length = combine(crc, c, n), length + n
-        return rows.iloc[:1][keys].assign(seq=int(rows["seq"].iloc[0]), crc=crc, length=length)
+def _folded(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """One row per group of keys, its pieces combined in the order of seq. A task goes through its groups one after
+    the other, however many there are."""
+    names = [*keys, "seq", "crc", "length"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            done = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if now is not None and now[: len(keys)] == list(row[: len(keys)]):
+                    now[-2:] = combine(now[-2], row[-2], row[-1]), now[-1] + row[-1]
+                else:
+                    if now is not None:
+                        done.append(now)
+                    now = list(row)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(n).type) for c, n in zip(zip(*done), names)], names=names)
+            kinds = [batch.schema.field(n).type for n in names]
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(now, kinds)], names=names)
 
-    return fold
+    return rows.select(names).repartition(*keys).sortWithinPartitions(*keys, "seq").mapInArrow(run, schema)
 
 
 def combined(pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,5 +80,5 @@ def combined(pieces: DataFrame, keys: list[str]) -> DataFrame:
     types = dict(pieces.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", seq bigint, crc bigint, length bigint"
     part = pieces.select(*keys, "seq", "crc", "length").withColumn("_part", F.floor(F.col("seq") / FAN))
-    first = part.groupBy(*keys, "_part").applyInPandas(_fold(keys), schema)
-    return first.groupBy(*keys).applyInPandas(_fold(keys), schema).drop("seq")
+    first = _folded(part, [*keys, "_part"], schema.replace(", seq bigint", ", _part bigint, seq bigint", 1))
+    return _folded(first, keys, schema).drop("seq")

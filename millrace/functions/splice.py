@@ -119,7 +119,7 @@ def resolved(chunk_data: bytes, places: np.ndarray, sources: np.ndarray, window:
     """chunk_data with the window's bytes in place; a copy from before the start of data is an error."""
     if not len(places):
         return chunk_data
-    at = sources - (WINDOW - len(window))
+    at = sources.astype(np.int64) - (WINDOW - len(window))
     if at.min() < 0:
         raise GzError("Deflate", "a copy from before the start")
     own = np.frombuffer(chunk_data, np.uint8).copy()
@@ -172,3 +172,35 @@ def find_block(data: bytes, start: int, stop: int, base: int = 0, trial: int = 8
             except zlib.error:
                 continue
     return None
+
+
+#: A chain of stored blocks has at least so many headers.
+CHAIN = 3
+
+
+def find_chain(data: bytes, start: int, stop: int, base: int = 0) -> tuple[int, int] | None:
+    """The first byte from start (before stop) at which CHAIN stored blocks or more follow each other, and the last
+    header of the chain. A stored block ends at a byte's end, so the next one's header is a byte, and then its length
+    twice, the second time inverted."""
+
+    def length(at: int) -> int:
+        """Of the block whose header is at a place of data, 0 if there is none."""
+        head = data[at : at + 5]
+        n = int.from_bytes(head[1:3], "little")
+        return n if len(head) == 5 and head[0] in (0, 1) and n ^ int.from_bytes(head[3:5], "little") == 0xFFFF else 0
+
+    step = 1 << 20
+    for lo in range(start - base, stop - base, step):
+        part = np.frombuffer(data[lo : min(lo + step, stop - base) + 4], np.uint8)
+        if len(part) < 5:
+            return None
+        n = len(part) - 4
+        for at in (lo + np.flatnonzero((part[:n] == 0) & (part[1 : n + 1] ^ part[3 : n + 3] == 255) & (part[2 : n + 2] ^ part[4 : n + 4] == 255))).tolist():
+            last, seen = at, 1
+            while size := length(last):
+                if data[last] or not length(last + 5 + size):
+                    break
+                last, seen = last + 5 + size, seen + 1
+            if seen >= CHAIN:
+                return base + at, base + last
+    return None

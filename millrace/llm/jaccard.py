@@ -48,10 +48,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import least_count, pieces, rows_a_batch
+from millrace.llm.batches import least_count, pieces
 from millrace.llm.components import components
 from millrace.llm.shingles import WordHashes, shingle_set
-from millrace.shared import drop_written, written
+from millrace.shared import drop_written, rows_a_batch, written
 
 SHARE_NUM, SHARE_DEN = 4, 5
 SIZE = 5
