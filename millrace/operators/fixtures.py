@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -9,11 +10,14 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import framing
-from millrace.plans.parallel import opened
+from millrace.functions.checksums import combine
+from millrace.plans.parallel import WIDE, opened, read_range
+from millrace.shared import rows_a_batch
 
 
 def path_of(key: str, rows: int) -> Column:
@@ -83,13 +87,6 @@ def damaged(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("path"), out.alias("content"))
 
 
-def one_file(lines: DataFrame, folder: str) -> str:
-    """Writes the lines as one gzip file and returns its path. One task writes: the file is one member."""
-    path = f"{folder}/one-{uuid.uuid4().hex}"
-    lines.coalesce(1).write.option("compression", "gzip").text(path)
-    return lines.sparkSession.read.text(path).inputFiles()[0]
-
-
 def created(path: str):
     """A file to write at a path that executors can open."""
     where = urlparse(path)
@@ -113,39 +110,114 @@ def saved(files: DataFrame, folder: str) -> str:
     return target
 
 
-def again_compressed(spark: SparkSession, path: str) -> str:
-    """Writes the bytes of a file as one gzip member beside it. One task writes: it is one stream."""
-    target = f"{path}.again.gz"
+def _joined(spark: SparkSession, parts: list[str], target: str, head: bytes = b"", tail: bytes = b"") -> str:
+    """Writes the files one after the other to target. One task copies: it is one file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            with opened(path) as f, created(target) as out:
-                engine = zlib.compressobj(6, zlib.DEFLATED, 31)
-                while part := f.read(1 << 20):
-                    out.write(engine.compress(part))
-                out.write(engine.flush())
+            with created(target) as out:
+                out.write(head)
+                for part in parts:
+                    with opened(part) as f:
+                        while piece := f.read(1 << 22):
+                            out.write(piece)
+                out.write(tail)
             yield batch
 
     spark.range(0, 1, 1, 1).mapInArrow(run, "id bigint").write.format("noop").mode("overwrite").save()
     return target
 
 
+def _one_member(pieces: DataFrame, raw_of, target: str) -> str:
+    """One gzip member of what raw_of(batch) yields for the rows of pieces, in the order of their partitions. Each
+    partition is compressed by its own task, up to a byte's end; then the parts are copied together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine, crc, size, k = zlib.compressobj(6, zlib.DEFLATED, -15), 0, 0, TaskContext.get().partitionId()
+        name = f"{target}.parts/{k}-{uuid.uuid4().hex}"
+        with created(name) as out:
+            for batch in batches:
+                for raw in raw_of(batch):
+                    crc, size = zlib.crc32(raw, crc), size + len(raw)
+                    out.write(engine.compress(raw))
+            out.write(engine.flush(zlib.Z_SYNC_FLUSH))
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name]), pa.array([crc], pa.int64()), pa.array([size], pa.int64())], names=["k", "name", "crc", "size"])
+
+    done = sorted(pieces.mapInArrow(run, "k bigint, name string, crc bigint, size bigint").collect())
+    crc = size = 0
+    for part in done:
+        crc, size = combine(crc, part["crc"], part["size"]), size + part["size"]
+    nothing = framing.compressed(b"")
+    return _joined(pieces.sparkSession, [part["name"] for part in done], target, nothing[: framing.HEADER], nothing[framing.HEADER : -framing.TRAILER] + struct.pack("<II", crc, size & 0xFFFFFFFF))
+
+
+def one_file(lines: DataFrame, folder: str) -> str:
+    """Writes the lines as one gzip file of one member and returns its path."""
+
+    def raw_of(batch: pa.RecordBatch) -> Iterator[bytes]:
+        values = batch.column(0).to_pylist()
+        yield ("\n".join(x or "" for x in values) + "\n" * (len(values) > 0)).encode()
+
+    return _one_member(lines, raw_of, f"{folder}/one-{uuid.uuid4().hex}.gz")
+
+
+def again_compressed(spark: SparkSession, path: str, piece: int = 8 << 20) -> str:
+    """Writes the bytes of a file as one gzip member beside it."""
+    with opened(path) as f:
+        n = -(-f.size() // piece)
+
+    def raw_of(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for k in batch.column(0).to_pylist():
+            yield read_range(path, k * piece, (k + 1) * piece)
+
+    return _one_member(spark.range(0, n, 1, max(1, n)), raw_of, f"{path}.again.gz")
+
+
+def whole_file(decoded: DataFrame, folder: str) -> str:
+    """Writes gz_bytes rows (path, seq, bytes) of one file as a file and returns its path: each row where it is, then
+    the parts are copied together."""
+    target = f"{folder}/whole-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = []
+            for seq, content in zip(batch.column("seq").to_pylist(), batch.column("bytes")):
+                names.append(f"{target}.parts/{seq}-{uuid.uuid4().hex}")
+                with created(names[-1]) as f:
+                    f.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array(names, pa.string())], names=["seq", "name"])
+
+    with rows_a_batch(decoded.sparkSession, WIDE):
+        done = sorted(decoded.select("seq", "bytes").mapInArrow(run, "seq bigint, name string").collect())
+    return _joined(decoded.sparkSession, [part["name"] for part in done], target)
+
+
 def joined_lines(decoded: DataFrame) -> DataFrame:
-    """path, value: lines from gz_bytes rows (path, seq, bytes). A line that runs over rows is put together
-    from the end of one row and the start of the next ones: only these ends are gathered by path."""
+    """path, value: lines from gz_bytes rows (path, seq, bytes). What stands between the first and the last line end
+    of a row is cut by Spark. A line that runs over rows is put together from the end of one row and the start of
+    the next ones: only these ends are gathered by path."""
     text = decoded.select("path", "seq", F.col("bytes").alias("b"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = []
+            for b in batch.column("b").to_pylist():
+                first, last = b.find(b"\n"), b.rfind(b"\n")
+                whole.append(b[first + 1 : last] if last > first else None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(whole, pa.binary())], names=["path", "whole"])
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for path, seq, b in zip(*(c.to_pylist() for c in batch.columns)):
-                first, *lines = b.split(b"\n")
-                last = lines.pop() if lines else None
-                kinds = [0] * len(lines) + [1] + [2] * (last is not None)
-                values = [*lines, first, *([last] if last is not None else [])]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(kinds)), pa.array([seq] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], names=["path", "seq", "kind", "value"])
-
-    parts = text.mapInArrow(cut, "path string, seq bigint, kind int, value binary")
-    ends = parts.where("kind > 0")
+                first, last = b.find(b"\n"), b.rfind(b"\n")
+                rows.append((path, seq, 1, b if first < 0 else b[:first]))
+                if first >= 0:
+                    rows.append((path, seq, 2, b[last + 1 :]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["path", "seq", "kind", "value"])
+
+    lines = text.mapInArrow(inner, "path string, whole binary").where("whole IS NOT NULL").select("path", F.explode(F.split(F.decode("whole", "UTF-8"), "\n")).alias("value"))
+    ends = text.mapInArrow(outer, "path string, seq bigint, kind int, value binary")
     order = Window.partitionBy("path").orderBy("seq", "kind")
     # a line starts at each last part (kind 2), and at the very first row
     line = ends.withColumn("line", F.sum((F.col("kind") == 2).cast("int")).over(order))
@@ -153,4 +225,4 @@ def joined_lines(decoded: DataFrame) -> DataFrame:
     # what stands behind the last line end is a line only if something does
     last = F.max("line").over(Window.partitionBy("path")) == F.col("line")
     values = whole.withColumn("last", last).where("NOT last OR octet_length(value) > 0")
-    return parts.where("kind = 0").select("path", "value").unionByName(values.select("path", "value")).select("path", F.decode("value", "UTF-8").alias("value"))
+    return lines.unionByName(values.select("path", F.decode("value", "UTF-8").alias("value")))

@@ -91,10 +91,10 @@ def nested_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = fixtures.one_file(table(spark, sf_dir, "lineitem").select(F.to_json(F.struct("*")).alias("value")), shared_dir(spark))
     outer = fixtures.again_compressed(spark, inner)
     with opened(outer) as f:
-        chunk = max(64 << 10, f.size() // 6)
+        chunk = max(64 << 10, min(1 << 20, f.size() // 6))
     out, checks, failures = parallel_bytes(spark, outer, chunk)
-    files = out.groupBy("path").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq)").alias("content"))
-    rows = members.gz_lines(files).select(F.from_json("value", "l_returnflag string, l_quantity double").alias("r")).select("r.*")
+    again, _, _ = parallel_bytes(spark, fixtures.whole_file(out, shared_dir(spark)), 1 << 20)
+    rows = fixtures.joined_lines(again).select(F.from_json("value", "l_returnflag string, l_quantity double").alias("r")).select("r.*")
     counted = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("int")).alias("quantity"))
     stats = parallel_stats(out, checks, failures).select((F.col("speculation_failures") > 0).alias("restarted"), F.col("members").alias("outer_members"))
     return counted.crossJoin(F.broadcast(stats))  # one row
@@ -146,7 +146,7 @@ def compressed_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_member_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as one .gz file of one member, written by Spark, decoded from many places at once."""
+    """lineitem as one .gz file of one member, decoded from many places at once."""
     line = F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), "l_returnflag", "l_linestatus")
     path = fixtures.one_file(table(spark, sf_dir, "lineitem").select(line.alias("value")), shared_dir(spark))
     out, checks, failures = parallel_bytes(spark, path, 64 << 10)

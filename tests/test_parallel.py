@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import framing, splice
 from millrace.functions.framing import GzError
-from millrace.operators import members
+from millrace.operators import fixtures, members
 from millrace.plans.parallel import parallel_bytes
 from millrace.plans.reader import large_members, read_gz
 
@@ -164,3 +164,43 @@ def test_any_file_is_read_in_its_way(spark, tmp_path):
     stats = {r["path"].rsplit("/", 1)[1]: r for r in read_gz(spark, str(tmp_path), "stats", 64 << 10).collect()}
     assert {k: (r["uncompressed_bytes"], r["members"]) for k, r in stats.items()} == {"a.large.gz": (len(text), 1), "b.bgzf.gz": (len(text), len(text) // 5000 + 2), "c.small.gz": (1005, 2), "d.large.gz": (len(text) + 1, 2)}
     assert stats["a.large.gz"]["chunks_decoded"] > 2
+
+
+def test_a_nested_file_stays_in_chunks(spark, tmp_path):
+    """Stored blocks are found where starts were false, so that the file doesn't become one long stretch."""
+    inner = framing.compressed(ascii_noise(900_000))
+    got, checks, failures, chunks = run(spark, tmp_path, framing.compressed(inner, 6))
+    assert got == inner and failures > 0 and checks[0]["crc_ok"] and chunks > 6
+    noise = np.random.default_rng(3).bytes(500_000)
+    got, _, failures, chunks = run(spark, tmp_path, framing.compressed(noise))
+    assert got == noise and failures == 0 and chunks > 5
+
+
+def test_many_files_take_no_more_jobs(spark, tmp_path, monkeypatch):
+    from millrace.plans import parallel
+
+    steps, real = [], parallel.written
+    monkeypatch.setattr(parallel, "written", lambda df, label="step": steps.append(label) or real(df, label))
+    took = {}
+    for n in (1, 4):
+        (tmp_path / str(n)).mkdir()
+        for i in range(n):
+            (tmp_path / str(n) / f"{i}.gz").write_bytes(framing.compressed(words(500_000, i)))
+        rows = read_gz(spark, str(tmp_path / str(n)), "stats", 64 << 10).collect()
+        assert [(r["uncompressed_bytes"], r["members"]) for r in rows] == [(len(words(500_000)), 1)] * n
+        took[n] = len(steps)
+        steps.clear()
+    assert took[1] == took[4] > 0
+
+
+def test_one_member_from_many_tasks(spark, tmp_path):
+    path = fixtures.one_file(spark.range(0, 5000, 1, 7).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value")), str(tmp_path))
+    want = "".join(f"line {i}\n" for i in range(5000)).encode()
+    with open(path, "rb") as f:
+        assert [raw for raw, _ in framing.members(f.read())] == [want]
+    with open(fixtures.again_compressed(spark, path, 1000), "rb") as f, open(path, "rb") as g:
+        assert [raw for raw, _ in framing.members(f.read())] == [g.read()]
+    out, _, _ = parallel_bytes(spark, path)
+    with open(fixtures.whole_file(out, str(tmp_path)), "rb") as f:
+        assert f.read() == want
+    assert sorted(r["value"] for r in fixtures.joined_lines(out).collect()) == sorted(want.decode().splitlines())
