@@ -24,6 +24,8 @@ BYTES = "path string, seq bigint, raw_offset bigint, bytes binary"
 FILES = "path string, length bigint, kind string"
 #: A decoded row has at most so many bytes.
 ROW = 16 << 20
+#: So many lines make a batch.
+LINES = 10_000
 
 
 def _arrow(rows: list[dict], schema: str) -> pa.RecordBatch:
@@ -144,17 +146,33 @@ def gz_stats(files: DataFrame) -> DataFrame:
 
 
 def gz_lines(files: DataFrame) -> DataFrame:
-    """path, value: the lines of the decoded text. A line may run over members."""
+    """path, value: the lines of the decoded text. A line may run over members; the lines of many small
+    members make one batch."""
 
     def rows_of(path, content):
-        rest = b""
-        for raw, _ in framing.members(content or b""):
+        rest, held, size = b"", [], 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path] * len(held), pa.string()), pa.array(held, pa.string())], names=["path", "value"])
+
+        for raw in framing.raws(content or b""):
             *lines, rest = (rest + raw).split(b"\n")
-            yield [{"path": path, "value": x.decode("utf-8", "replace")} for x in lines]
+            held += [x.decode("utf-8", "replace") for x in lines]
+            size += len(raw)
+            if len(held) >= LINES or size >= ROW:
+                yield told()
+                held, size = [], 0
         if rest:
-            yield [{"path": path, "value": rest.decode("utf-8", "replace")}]
+            held.append(rest.decode("utf-8", "replace"))
+        if held:
+            yield told()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                yield from rows_of(path, content.as_py())
 
-    return _over_files(files, rows_of, "path string, value string")
+    return files.select("path", "content").mapInArrow(run, "path string, value string")
 
 
 def decompressed(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -3,12 +3,14 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from millrace.functions import framing
 from millrace.functions.checksums import combine, combined
+from millrace.operators import members
 
 
 def decode(data):
@@ -91,3 +93,34 @@ def test_combined_over_many_pieces(spark):
     rows = [(k, i, zlib.crc32(p), len(p)) for k, ps in whole.items() for i, p in enumerate(ps)]
     got = {r["k"]: (r["crc"], r["length"]) for r in combined(spark.createDataFrame(rows, "k string, seq bigint, crc bigint, length bigint"), ["k"]).collect()}
     assert got == {k: (zlib.crc32(b"".join(ps)), sum(map(len, ps))) for k, ps in whole.items()}
+
+
+def test_decoded_members_without_rows():
+    parts = [b"", b"a", b"x" * 100_000, bytes(range(256)) * 300, b"tail"]
+    for data in (b"".join(map(framing.compressed, parts)), framing.bgzf(b"".join(parts), 1000), framing.bgzf(parts[2]) + framing.compressed(b"z")):
+        assert list(framing.raws(data)) == [raw for raw, _ in framing.members(data)]
+        for k in (len(data) - 1, len(data) - 5, 3, 12):
+            for bad in (data[:k], data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :], data + b"\0"):
+                said = []
+                for way in (framing.raws, lambda d: (raw for raw, _ in framing.members(d))):
+                    try:
+                        said.append(list(way(bad)))
+                    except framing.GzError as why:
+                        said.append(why.kind)
+                assert said[0] == said[1]
+
+
+def test_lines_of_small_members_share_batches():
+    """One batch per member would cost more than its lines."""
+    content = b"".join(framing.compressed(b"line %d\n" % i) for i in range(3000))
+    made = []
+
+    class Frame:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            made.extend(run(iter([pa.RecordBatch.from_pydict({"path": ["a"], "content": [content]})])))
+
+    members.gz_lines(Frame())
+    assert [b.num_rows for b in made] == [3000] and made[0].column("value")[7].as_py() == "line 7"
