@@ -20,6 +20,10 @@ from millrace.plans.parallel import WIDE, opened, read_range
 from millrace.shared import rows_a_batch
 
 
+#: Files that go to Python at a time, and rows that are encoded at a time.
+FILES, PIECE = 64, 1000
+
+
 def path_of(key: str, rows: int) -> Column:
     """Files hold the rows whose keys fall in the same stretch of `rows` keys: bounded files, and
     more of them as the table grows."""
@@ -37,8 +41,10 @@ def _gathered(df: DataFrame, key: str, line: str, rows: int, encode) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [encode(k, (x or "").encode()) for k, x in zip(batch.column("k").to_pylist(), batch.column("line").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("k"), pa.array(parts, pa.binary())], names=["path", "k", "part"])
+            for at in range(0, batch.num_rows, PIECE):
+                some = batch.slice(at, PIECE)
+                parts = [encode(k, (x or "").encode()) for k, x in zip(some.column("k").to_pylist(), some.column("line").to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column("path"), some.column("k"), pa.array(parts, pa.binary())], names=["path", "k", "part"])
 
     parts = df.select(path_of(key, rows).alias("path"), F.col(key).alias("k"), F.col(line).alias("line")).mapInArrow(run, "path string, k bigint, part binary")
     return parts.groupBy("path").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY k, part)").alias("content"))
@@ -101,12 +107,13 @@ def saved(files: DataFrame, folder: str) -> str:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 with created(f"{target}/{path}.gz") as f:
-                    f.write(content)
+                    f.write(content.as_buffer())
             yield batch.select(["path"])
 
-    files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    with rows_a_batch(files.sparkSession, FILES):
+        files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
     return target
 
 
