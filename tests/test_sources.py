@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import framing
-from millrace.operators import members
+from millrace.operators import fixtures, members
 from millrace.shared import shared_dir
 from millrace.sources.pgz import PgzSource
 from millrace.streaming.folder import arriving
@@ -148,3 +148,11 @@ def test_a_cluster_needs_a_shared_folder(spark):
     own = Session("local[2]")
     assert shared_dir(own) == shared_dir(own)
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_few_files_at_a_time_go_to_python(spark, tmp_path, monkeypatch):
+    asked, real = [], fixtures.rows_a_batch
+    monkeypatch.setattr(fixtures, "rows_a_batch", lambda session, rows: asked.append(rows) or real(session, rows))
+    df = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    target = fixtures.saved(fixtures.bgzf_files(df, "k", "line", 10), str(tmp_path))
+    assert asked == [fixtures.FILES] and load(spark, target, "lines").count() == 3000
