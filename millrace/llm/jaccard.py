@@ -21,10 +21,13 @@ set's n inverted lists at least. All links between different sets are found, exa
    of large groups of near copies. Each is compared with its list's most typical set first. What is
    then still in different components is compared within its list in blocks of BLOCK by BLOCK, each a
    unit of work of its own; sizes, the shingles that no other set has and a parity bitmap of each set
-   rule pairs out before any text is read.
-6. Verification goes in two rounds: each class with its most frequent candidate and the typical
+   rule pairs out before any text is compared.
+6. Verification goes in rounds: each class with its most frequent candidate and the typical
    class of long lists first; then all other candidates that are not yet in one component. Pairs
-   within a component can't change it, so they are never listed, however large the group is.
+   within a component can't change it, so they are never listed, however large the group is. Of what
+   5. leaves, a unit lists first the pairs that join its components if they link (fewer than its
+   rows) and as many others as it has rows; where that isn't all, another round lists what components
+   and pairs known not to link leave, with four times as many others, until all is listed.
 
 Rows of a hot class or list are spread: copies are grouped by partial sums, list members are joined
 with their typical set by a salted key, and lists over LONG never come to one task.
@@ -117,8 +120,10 @@ def long_shingles(texts: DataFrame, size: int = SIZE, long: int = LONG, most: in
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """Parity of the set's hashes by their low bits; at least as many bits as shingles."""
-    bits = max(64, 1 << (len(own) - 1).bit_length())
+    """Parity of the set's hashes by their low bits: at least 16 bits for each shingle, so that hardly
+    any two fall together, of sets of up to 2,048; at least as many bits as shingles of any set."""
+    least = max(64, 1 << (len(own) - 1).bit_length())
+    bits = max(least, min(16 * least, 1 << 15))
     parity = np.bincount((own & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -126,7 +131,7 @@ def bitmap(own: np.ndarray) -> np.ndarray:
 def prepared(docs: DataFrame, long: tuple[np.ndarray, np.ndarray], key: str, text: str, size: int) -> DataFrame:
     """doc_id, th (hash of the text), cls (null for an empty set), n, and, where the task meets the
     class for the first time, prefix (the shingles whose lists aren't skipped, shortest lists first),
-    cold (how many of them are not known to be long), share (of long ones in the set) and bits."""
+    cold (how many of them are not known to be long) and share (of long ones in the set)."""
     spread = docs.sparkSession.sparkContext.broadcast(long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +139,14 @@ def prepared(docs: DataFrame, long: tuple[np.ndarray, np.ndarray], key: str, tex
         for whole in batches:
             for a, b in pieces(whole.column("text").to_pylist(), 4_000_000):
                 batch = whole.slice(a, b - a)
-                cls, n, prefix, cold, share, bits = [], [], [], [], [], []
+                cls, n, prefix, cold, share = [], [], [], [], []
                 for t in batch.column("text").to_pylist():
                     own = shingle_set(hashes.of(t), size)
                     n.append(len(own))
                     mark = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None
                     cls.append(mark)
                     if mark is None or mark in seen:
-                        for x in (prefix, cold, share, bits):
+                        for x in (prefix, cold, share):
                             x.append(None)
                         continue
                     if len(seen) > 500_000:
@@ -156,15 +161,14 @@ def prepared(docs: DataFrame, long: tuple[np.ndarray, np.ndarray], key: str, tex
                     prefix.append(np.concatenate([plain, last])[:first].view(np.int64))
                     cold.append(min(first, len(plain)))
                     share.append(1 - len(plain) / len(own))
-                    bits.append(bitmap(own))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, longs), pa.array(cold, pa.int32()), pa.array(share, pa.float32()), pa.array(bits, longs)],
-                    names=["doc_id", "th", "cls", "n", "prefix", "cold", "share", "bits"],
+                    [batch.column("doc_id"), batch.column("th"), pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, longs), pa.array(cold, pa.int32()), pa.array(share, pa.float32())],
+                    names=["doc_id", "th", "cls", "n", "prefix", "cold", "share"],
                 )
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, cls bigint, n int, prefix array<bigint>, cold int, share float, bits array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, cls bigint, n int, prefix array<bigint>, cold int, share float")
 
 
 def _lists(batches: Iterator[pa.RecordBatch], long: int) -> Iterator[pa.RecordBatch]:
@@ -236,57 +240,126 @@ def _similar_size(n: str, m: str) -> Column:
     return F.least(n, m) * SHARE_DEN >= F.greatest(n, m) * SHARE_NUM
 
 
-def _across(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def _across(members: DataFrame, block: int = BLOCK, extra: float = 1) -> DataFrame:
     """Pairs (x, y) of the same token, but of different components r, that sizes, shingles of their
-    own and bitmaps don't rule out. members: token, cls, n, avail, reach, r, bits."""
+    own and bitmaps don't rule out and that aren't in `no`. A unit of work gives those that may join
+    its components (less than its rows) and, of the others, at most `extra` times its rows; a row of
+    nulls says that it has more. members: token, cls, n, avail, reach, r, bits and, if pairs are
+    known not to link, no (for the larger cls of each)."""
+    if "no" not in members.columns:
+        members = members.withColumn("no", F.lit(None).cast("array<bigint>"))
     counted = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = members.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(counted, ["token", "salt"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "n", "avail", "reach", "r", "bits")
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "n", "avail", "reach", "r", "bits", "no")
     order = ["token", "p", "q"]
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
+    def pairs(rows: list[tuple]) -> pa.RecordBatch:
         p, q = rows[0][1], rows[0][2]
         side, cls, n, avail, reach, root = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6, 7, 8))
+        maps = Bitmaps([r[9] for r in rows])
+        no = {(int(cls[i]), y) for i, r in enumerate(rows) for y in r[10] or ()}
         a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        x, y = [], []
+        up = {r: r for r in root.tolist()}
+
+        def find(r: int) -> int:
+            while up[r] != r:
+                up[r] = up[up[r]]
+                r = up[r]
+            return r
+
+        x, y, left = [], [], int(extra * len(rows))
         for i in a.tolist():
             j = b[b > i] if p == q else b
             j = j[root[j] != root[i]]
             most = np.minimum(n[i], n[j])
             most = np.where(reach[i] & reach[j], np.minimum(most, np.minimum(avail[i], avail[j])), most)
-            for k in j[most * (SHARE_NUM + SHARE_DEN) >= (n[i] + n[j]) * SHARE_NUM].tolist():
-                if _near_enough(int(n[i] + n[k]), rows[i][9], rows[k][9]):
-                    x.append(max(cls[i], cls[k]))
-                    y.append(min(cls[i], cls[k]))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"]) if x else None
+            j = j[most * (SHARE_NUM + SHARE_DEN) >= (n[i] + n[j]) * SHARE_NUM]
+            if not len(j):
+                continue
+            for k in j[maps.apart(i, j) * (SHARE_NUM + SHARE_DEN) <= (n[i] + n[j]) * (SHARE_DEN - SHARE_NUM)].tolist():
+                pair = int(max(cls[i], cls[k])), int(min(cls[i], cls[k]))
+                if pair in no:
+                    continue
+                s, t = find(int(root[i])), find(int(root[k]))
+                if s != t:
+                    up[t] = s
+                elif left > 0:
+                    left -= 1
+                else:
+                    left = -1
+                    continue
+                x.append(pair[0])
+                y.append(pair[1])
+        if left < 0:
+            x.append(None)
+            y.append(None)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         for _, unit in groupby(rows, lambda r: r[:3]):
-            if (out := pairs(list(unit))) is not None:
+            if (out := pairs(list(unit))).num_rows:
                 yield out
 
     return units.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "x bigint, y bigint")
 
 
-def _near_enough(both: int, a: list[int], b: list[int]) -> bool:
-    """The bitmaps (the larger folded to the size of the smaller) don't rule the pair out: of both
-    sizes together at most (1 - t) / (1 + t) may differ."""
-    p, q = np.array(a, np.int64), np.array(b, np.int64)
-    while len(p) != len(q):
-        if len(p) < len(q):
-            p, q = q, p
-        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
-    return int(np.bitwise_count((p ^ q).view(np.uint64)).sum()) * (SHARE_NUM + SHARE_DEN) <= both * (SHARE_DEN - SHARE_NUM)
+class Bitmaps:
+    """Bitmaps of many sets, compared by the size of the smaller one: a larger one is folded."""
+
+    def __init__(self, bits: list[list[int]]):
+        self.size = np.array([len(b) for b in bits])
+        self.of, self.at = {}, np.zeros(len(bits), np.int64)
+        for size in set(self.size.tolist()):
+            own = np.flatnonzero(self.size == size)
+            self.at[own] = np.arange(len(own))
+            self.of[size] = np.array([bits[i] for i in own.tolist()], np.int64).view(np.uint64).reshape(len(own), size)
+
+    @staticmethod
+    def folded(maps: np.ndarray, size: int) -> np.ndarray:
+        while maps.shape[1] > size:
+            half = maps.shape[1] // 2
+            maps = maps[:, :half] ^ maps[:, half:]
+        return maps
+
+    def apart(self, i: int, j: np.ndarray) -> np.ndarray:
+        """For each set of j at least how many shingles it and set i don't share."""
+        out, own = np.zeros(len(j), np.int64), self.of[int(self.size[i])][self.at[i] : self.at[i] + 1]
+        for size in np.unique(self.size[j]).tolist():
+            at = np.flatnonzero(self.size[j] == size)
+            few = min(size, own.shape[1])
+            step = max(1, (1 << 22) // size)
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                out[some] = np.bitwise_count(self.folded(self.of[size][self.at[j[some]]], few) ^ self.folded(own, few)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """wanted (cls, ...), one row for each cls, with a text of the class."""
+    ends = wanted.join(classes.select("cls", "rep", "th"), "cls").withColumn("rep", F.coalesce("rep", F.lit(-1)))
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("rep"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return rows.join(ends, ["rep", "th"]).select(*wanted.columns, "text").dropDuplicates(["cls"])
+
+
+def _bitmaps(wanted: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """cls, bits for the classes wanted (cls, once each)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            bits = [bitmap(shingle_set(hashes.of(t.as_py()), size)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(bits, pa.list_(pa.int64()))], names=["cls", "bits"])
+
+    with rows_a_batch(docs.sparkSession, TEXT_PAIRS):
+        return written(_texts(wanted, docs, classes, key, text).select("cls", "text").mapInArrow(run, "cls bigint, bits array<bigint>"), "bits")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """Links (a, b) among the pairs (x, y, hot), by their texts. A y whose pairs are hot has its text
     copied SALTS times: there are more pairs of it than that."""
     ends = pairs.select(F.col("x").alias("cls"), F.lit(False).alias("hot")).unionByName(pairs.select(F.col("y").alias("cls"), "hot")).groupBy("cls").agg(F.max("hot").alias("hot"))
-    wanted = ends.join(classes, "cls").select("cls", "hot", F.coalesce("rep", F.lit(-1)).alias("rep"), "th")
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-1)).alias("rep"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    texts = written(rows.join(wanted, ["rep", "th"]).select("cls", "hot", "text").dropDuplicates(["cls"]), "texts")
+    texts = written(_texts(ends, docs, classes, key, text), "texts")
     salted = pairs.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("x"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
     one = texts.select(F.col("cls").alias("x"), F.col("text").alias("tx"))
     other = texts.select(F.col("cls").alias("y"), F.col("text").alias("ty"), F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0))).alias("salt"))
@@ -332,8 +405,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # the smallest id of a class with its text's hash; ids come last if null
     classes = written(
         rows.where("cls IS NOT NULL").groupBy("cls", "n")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max(F.struct("share", "cold", "prefix", "bits")).alias("own"))
-        .select("cls", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "own.share", "own.cold", "own.prefix", "own.bits"), "classes")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max(F.struct("share", "cold", "prefix")).alias("own"))
+        .select("cls", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "own.share", "own.cold", "own.prefix"), "classes")
     postings = classes.select("cls", "n", "cold", F.posexplode("prefix").alias("at", "token"))
     short = postings.where("at < cold").select("token", "n", "cls").repartition("token").sortWithinPartitions("token", "n", "cls")
     lists = written(short.mapInArrow(lambda it: _lists(it, long), "cls bigint, near array<bigint>, token bigint"), "lists")
@@ -341,7 +414,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     met = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("met"), F.count("token").alias("late"))
     skips, alone = F.size("prefix") - F.col("cold") + F.coalesce("late", F.lit(0)), F.col("cold") - F.coalesce("met", F.lit(0))
     reach = F.size("prefix") > F.col("cold")  # then all its shingles that aren't long were looked up
-    known = written(classes.join(met, "cls", "left").select("cls", "n", "share", "bits", skips.cast("int").alias("skips"), reach.alias("reach"), F.when(reach, F.col("n") - alone).otherwise(F.col("n")).cast("int").alias("avail")), "known")
+    known = written(classes.join(met, "cls", "left").select("cls", "n", "share", skips.cast("int").alias("skips"), reach.alias("reach"), F.when(reach, F.col("n") - alone).otherwise(F.col("n")).cast("int").alias("avail")), "known")
     counted = lists.where("size(near) > 0").select("cls", "near").repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged, "x bigint, y bigint, times int, first boolean")
     mine, other = (known.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("skips").alias(f"s{c}")) for c in "xy")
     enough = F.col("times") >= F.least(_spare(F.col("nx")), _spare(F.col("ny"))) - F.least("sx", "sy")
@@ -361,20 +434,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def rooted(frame: DataFrame, cls: str, name: str) -> DataFrame:
         return frame.join(root.select(F.col("node").alias(cls), F.col("root").alias(name)), cls, "left").withColumn(name, F.coalesce(name, F.col(cls)))
 
+    # what is left is told by text in rounds: each tells all that may join components, and more of the other pairs
+    # than the one before it, until no list has any that weren't told
     rest = rooted(rooted(candidates.where("NOT first").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry").select("x", "y")
-    members = rooted(skipped.select("token", "cls"), "cls", "r")
-    split = members.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    apart = members.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(split, ["token", "salt"]).drop("salt").join(known.select("cls", "n", "avail", "reach", "bits"), "cls")
-    more = written(rest.unionByName(_across(apart, block)).distinct().join(begin, ["x", "y"], "left_anti").withColumn("hot", F.lit(False)), "pairs")
-    if not more.isEmpty():
-        late_links = _verified(more, docs, classes, key, text, size)
-        drop_written(root)
-        root = written(components(links.unionByName(late_links)), "roots")
-        drop_written(late_links)
+    extra, bits, unlinked, told = 1, None, None, False
+    while not told:
+        members = rooted(skipped.select("token", "cls"), "cls", "r")
+        split = members.groupBy("token").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        apart = members.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(split, ["token", "salt"]).drop("salt")
+        if bits is None:
+            bits = _bitmaps(apart.select("cls").distinct(), docs, classes, key, text, size)
+        apart = apart.join(known.select("cls", "n", "avail", "reach"), "cls").join(bits, "cls")
+        if unlinked is not None:
+            apart = apart.join(unlinked.groupBy(F.col("x").alias("cls")).agg(F.collect_list("y").alias("no")), "cls", "left")
+        found = written(_across(apart, block, extra).distinct(), "found")
+        told, listed = found.where("x IS NULL").isEmpty(), found.where("x IS NOT NULL")
+        more = written((rest.unionByName(listed).distinct().join(begin, ["x", "y"], "left_anti") if unlinked is None else listed).withColumn("hot", F.lit(False)), "pairs")
+        fresh = None if more.isEmpty() else _verified(more, docs, classes, key, text, size)
+        if not told:
+            ordered = (links if fresh is None else fresh).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+            tested = listed.join(ordered, ["x", "y"], "left_anti")
+            before, unlinked = unlinked, written(tested if unlinked is None else unlinked.unionByName(tested), "unlinked")
+            if before is not None:
+                drop_written(before)
+        if fresh is not None:
+            before, links = links, written(links.unionByName(fresh), "links")
+            for done in (before, fresh, root):
+                drop_written(done)
+            root = written(components(links), "roots")
+        for done in (found, more):
+            drop_written(done)
+        extra *= 4
+    if unlinked is not None:
+        drop_written(unlinked)
     by_root = rooted(classes.select("cls", "rep"), "cls", "root")
     smallest = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = written(by_root.join(smallest, "root").select("cls", "component_id"), "component")
-    for done in (classes, lists, known, candidates, skipped, begin, links, more, root):
+    for done in (classes, lists, known, candidates, skipped, begin, links, bits, root):
         drop_written(done)
     return rows.select("doc_id", "th", "cls", F.col("n").cast("bigint").alias("n_shingles")).join(of_class, "cls", "left").withColumn(
         "component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

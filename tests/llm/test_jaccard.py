@@ -120,6 +120,62 @@ def test_large_groups_over_many_partitions(spark):
     assert got == known == {i: want[distinct[t]] for i, t in rows}
 
 
+def chain(rng, steps, words=150):
+    """Texts that drift: each links with the ones next to it, none of the far ones with each other."""
+    own = [f"c{rng.random()}" for _ in range(words)]
+    for k in range(steps):
+        yield " ".join(own)
+        for at in rng.sample(range(words), 1 + k % 3):
+            own[at] = f"d{rng.random()}"
+
+
+@pytest.mark.parametrize("extra", [0, 1, 1000])
+def test_pairs_of_a_group_grow_with_its_rows(spark, extra):
+    """400 sets, all similar and all in components of their own, would be 79,800 pairs."""
+    rng = random.Random(2)
+    bits = [int(x) for x in jaccard.bitmap(np.array([rng.getrandbits(64) for _ in range(100)], np.uint64))]
+    rows = [(1, i, 100, 100, False, i, bits) for i in range(400)]
+    kind = "token bigint, cls bigint, n int, avail int, reach boolean, r bigint, bits array<bigint>"
+    df = spark.createDataFrame(rows, kind)
+    got = [(r["x"], r["y"]) for r in jaccard._across(df, 512, **({} if extra == 1 else {"extra": extra})).collect()]
+    pairs = [p for p in got if p != (None, None)]
+    assert len(pairs) == len(set(pairs)) == min(79_800, 399 + extra * 400) and all(x > y for x, y in pairs)
+    assert ((None, None) in got) == (extra < 1000)
+    assert len(set(components(spark.createDataFrame(pairs, "a bigint, b bigint")).select("root").collect())) == 1
+    no = {}
+    for x, y in pairs:
+        no.setdefault(x, []).append(y)
+    told = spark.createDataFrame([(*r, no.get(r[1])) for r in rows], kind + ", no array<bigint>")
+    again = {(r["x"], r["y"]) for r in jaccard._across(told, 512, extra).collect()} - {(None, None)}
+    assert not again & set(pairs) and bool(again) == (extra < 1000)
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 60, 64, 65, 130, 3000, 40_000)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, k).astype(np.uint64)]) for s in sets for k in (0, 1, len(s) // 8)]
+    maps, everyone = jaccard.Bitmaps([jaccard.bitmap(s).tolist() for s in sets]), np.arange(len(sets))
+    for i, s in enumerate(sets):
+        differ = np.array([len(np.setxor1d(s, t)) for t in sets])
+        got = maps.apart(i, everyone)
+        assert (got <= differ).all() and got[i] == 0
+        assert (got[differ < 40] >= differ[differ < 40] - 4).all() or len(s) < 4
+
+
+def test_rounds_tell_all_pairs(spark, monkeypatch):
+    """So few pairs a round that several rounds are needed, with pairs near the threshold that don't link."""
+    rounds, across = [], jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda members, block, extra: rounds.append(extra) or across(members, block, extra * 0.01))
+    rng = random.Random(4)
+    texts = [t for _ in range(2) for t in chain(rng, 150)] + family(rng, 80, 2, 6)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, long=3, max_long=50, block=16).collect()}
+    assert got == brute(rows)
+    assert len(rounds) > 1
+
+
 def lists_of(rows, long, size):
     """What _lists gives for sorted (token, n, cls) rows that come in batches of size."""
     kinds = (pa.int64(), pa.int32(), pa.int64())
