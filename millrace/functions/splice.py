@@ -4,12 +4,14 @@ Before the first wanted bit go empty blocks whose length has the same residue mo
 stored blocks keep the file's byte grid; after the last wanted bit goes an empty final block, whose
 end tells whether the stretch ended at a block's end. Where the 32 KiB before a stretch are not
 known, it is decoded with three dictionaries; bytes in which two of them differ are copies from the
-unknown window, and the dictionaries' values spell their place there."""
+unknown window, and the dictionaries' values spell their place there. Stretches go to zlib and come out
+in pieces, so that what is held doesn't grow with what they decode to."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +19,8 @@ import numpy as np
 from millrace.functions.framing import TRAILER, GzError, header
 
 WINDOW = 1 << 15
+#: So many bytes of a stretch go to zlib at a time, and a decoded piece has at most so many.
+FED, PIECE = 1 << 16, 1 << 20
 _PLACE = np.arange(WINDOW)
 DICTIONARIES = [(_PLACE & 255).astype(np.uint8).tobytes(), (_PLACE >> 8).astype(np.uint8).tobytes(), ((_PLACE & 255) ^ 255).astype(np.uint8).tobytes()]
 _ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
@@ -60,58 +64,95 @@ def spliced(data: bytes, start: int, stop: int | None, base: int = 0) -> tuple[b
 
 @dataclass
 class Chunk:
-    """What a stretch decodes to. places are positions in data that are copies of the window's byte
-    at the same index of sources (0 is the oldest). members: position in data, CRC32 and length of
-    each member that ends in the stretch."""
+    """What a stretch decodes to, or the end of that; length: of all of it. places are positions in data that are copies
+    of the window's byte at the same index of sources (0 is the oldest). members: position in what is decoded, CRC32 and
+    length of each member that ends in the stretch."""
 
     data: bytes = b""
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sources: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     members: list = field(default_factory=list)
     error: str | None = None
-
-
-def _inflate(stream: bytes, dictionary: bytes | None) -> tuple[bytes, bool, bytes]:
-    engine = zlib.decompressobj(-15, zdict=dictionary) if dictionary else zlib.decompressobj(-15)
-    return engine.decompress(stream), engine.eof, engine.unused_data
-
-
-def decode(data: bytes, start: int, stop: int | None, known: bool, base: int = 0) -> Chunk:
+    length: int = 0
+
+
+def _slices(data: bytes, start: int, stop: int | None, base: int) -> Iterator[bytes]:
+    """spliced() in slices, without a copy of a long stretch."""
+    first, end = start // 8 - base, len(data) if stop is None else -(-stop // 8) - base
+    if end - first <= 2 * FED:
+        yield spliced(data, start, stop, base)[0]
+        return
+    view = memoryview(data)[:end]
+    yield spliced(view[: first + FED], start, None, base)[0]
+    for at in range(first + FED, end - FED, FED):
+        yield view[at : min(at + FED, end - FED)]
+    yield spliced(view, 8 * (base + end - FED), stop, base)[0]
+
+
+def streamed(data: bytes, start: int, stop: int | None, dictionaries: list[bytes | None], base: int = 0) -> Iterator[tuple[list[bytes], tuple[int, int] | None]]:
+    """The blocks from bit start to bit stop (None: to the end of the file) in pieces, each decoded behind each of the
+    dictionaries (None: nothing comes before; after a member's end there is one way only). Where a member ends comes an
+    empty list, with the CRC32 and length of its trailer."""
+    at = start
+    while True:
+        source, ahead, fed, rest = _slices(data, at, stop, base), len(prelude(at % 8)[0]), 0, b""
+        engines = [zlib.decompressobj(-15, zdict=d) if d else zlib.decompressobj(-15) for d in dictionaries]
+        try:
+            while not engines[0].eof:
+                if not rest:
+                    rest = next(source, b"")
+                    fed += len(rest)
+                raws = [engine.decompress(rest, PIECE) for engine in engines]
+                if raws[0]:
+                    yield raws, None
+                elif not rest:
+                    break
+                # what dictionaries hold has no part in where codes end
+                rest = engines[0].unconsumed_tail
+        except zlib.error as why:
+            raise GzError("Deflate", str(why)) from None
+        if not engines[0].eof:
+            raise GzError("Truncated", "body")
+        unused = len(engines[0].unused_data)
+        if stop is not None and not unused and next(source, None) is None:
+            return
+        after = at // 8 + fed - unused - ahead
+        limit = base + len(data) if stop is None else -(-stop // 8)
+        if after + TRAILER > limit:
+            raise GzError("Truncated", "trailer")
+        yield [], struct.unpack_from("<II", data, after - base)
+        if stop is None and after + TRAILER == limit:
+            return
+        body = header(data, after + TRAILER - base)[0] + base
+        if stop is not None and 8 * body > stop:
+            raise GzError("Truncated", "the end lies in a header")
+        at, dictionaries = 8 * body, [None]
+        if at == stop:
+            return
+
+
+def decode(data: bytes, start: int, stop: int | None, known: bool, base: int = 0, last: int | None = None) -> Chunk:
     """The blocks from bit start to bit stop (None: to the end of the file). known: start is a member's
-    first bit, so nothing comes before. error is set if stop is not the end of a block, given start."""
-    out, parts, at = Chunk(), [], start
+    first bit, so nothing comes before. error is set if stop is not the end of a block, given start. Only the last
+    bytes are kept if last says how many."""
+    out, ways = Chunk(), [bytearray() for _ in ([None] if known else DICTIONARIES)]
     try:
-        while True:
-            stream, ahead = spliced(data, at, stop, base)
-            raw, ended, unused = _inflate(stream, None if known else DICTIONARIES[0])
-            if not known:
-                low, high, other = (np.frombuffer(x, np.uint8) for x in (raw, *(_inflate(stream, d)[0] for d in DICTIONARIES[1:])))
-                out.places = np.flatnonzero(low != other)
-                out.sources = low[out.places].astype(np.int64) + 256 * high[out.places].astype(np.int64)
-            parts.append(raw)
-            if ended and not unused and stop is not None:
-                break
-            if not ended:
-                raise GzError("Truncated", "body")
-            after = at // 8 + len(stream) - len(unused) - ahead
-            limit = base + len(data) if stop is None else -(-stop // 8)
-            if after + TRAILER > limit:
-                raise GzError("Truncated", "trailer")
-            crc, size = struct.unpack_from("<II", data, after - base)
-            out.members.append((sum(map(len, parts)), crc, size))
-            if stop is None and after + TRAILER == limit:
-                break
-            body = header(data, after + TRAILER - base)[0] + base
-            if stop is not None and 8 * body > stop:
-                raise GzError("Truncated", "the end lies in a header")
-            at, known = 8 * body, True
-            if at == stop:
-                break
-    except zlib.error as why:
-        out.error = f"Deflate: {why}"
+        for raws, trailer in streamed(data, start, stop, [None] if known else DICTIONARIES, base):
+            if trailer:
+                out.members.append((out.length, *trailer))
+                continue
+            out.length += len(raws[0])
+            for way, raw in zip(ways, raws if len(raws) == len(ways) else raws * len(ways)):
+                way += raw
+                if last is not None and len(way) > last:
+                    del way[:-last]
     except GzError as why:
         out.error = str(why)
-    out.data = b"".join(parts)
+    out.data = bytes(ways[0])
+    if not known:
+        low, high, other = (np.frombuffer(x, np.uint8) for x in ways)
+        out.places = np.flatnonzero(low != other)
+        out.sources = low[out.places].astype(np.int64) + 256 * high[out.places].astype(np.int64)
     return out
 
 

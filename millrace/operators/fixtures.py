@@ -203,28 +203,15 @@ def joined_lines(decoded: DataFrame) -> DataFrame:
     """path, value: lines from gz_bytes rows (path, seq, bytes). What stands between the first and the last line end
     of a row is cut by Spark. A line that runs over rows is put together from the end of one row and the start of
     the next ones: only these ends are gathered by path."""
-    text = decoded.select("path", "seq", F.col("bytes").alias("b"))
-
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = []
-            for b in batch.column("b").to_pylist():
-                first, last = b.find(b"\n"), b.rfind(b"\n")
-                whole.append(b[first + 1 : last] if last > first else None)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(whole, pa.binary())], names=["path", "whole"])
-
-    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, seq, b in zip(*(c.to_pylist() for c in batch.columns)):
-                first, last = b.find(b"\n"), b.rfind(b"\n")
-                rows.append((path, seq, 1, b if first < 0 else b[:first]))
-                if first >= 0:
-                    rows.append((path, seq, 2, b[last + 1 :]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["path", "seq", "kind", "value"])
-
-    lines = text.mapInArrow(inner, "path string, whole binary").where("whole IS NOT NULL").select("path", F.explode(F.split(F.decode("whole", "UTF-8"), "\n")).alias("value"))
-    ends = text.mapInArrow(outer, "path string, seq bigint, kind int, value binary")
+    b, text = F.col("bytes"), F.col("bytes").cast("string")
+    # what is not UTF-8 stays as it is: line ends are looked for by bytes
+    head, tail = (F.substring_index(text, "\n", k).cast("binary") for k in (1, -1))
+    size, first, behind = F.octet_length(b), F.octet_length(head), F.octet_length(tail)
+    several = first + behind + 1 < size
+    whole = decoded.where(several).select("path", F.substring(b, first + 2, size - first - behind - 2).alias("whole"))
+    lines = whole.select("path", F.explode(F.split(F.decode("whole", "UTF-8"), "\n")).alias("value"))
+    kinds = F.array(F.struct(F.lit(1).alias("kind"), head.alias("value")), F.struct(F.lit(2).alias("kind"), tail.alias("value")))
+    ends = decoded.select("path", "seq", F.inline(F.when(first < size, kinds).otherwise(F.slice(kinds, 1, 1))))
     order = Window.partitionBy("path").orderBy("seq", "kind")
     # a line starts at each last part (kind 2), and at the very first row
     line = ends.withColumn("line", F.sum((F.col("kind") == 2).cast("int")).over(order))

@@ -7,9 +7,11 @@ check     a chunk whose end is not a block's end had a false start after it: tha
           chunk twice as many starts are dropped, so that long false stretches take few rounds; before
           that, chains of stored blocks are looked for once where chunks failed, and replace the starts
           that lie within them
+          Of a chunk only its length and its last 32 KiB are kept
 windows   the last 32 KiB of each chunk: FAN chunks at a time are composed to a map from the window
           before them to that after them; maps are resolved in file order, then the chunks within
-bytes     chunks joined with their windows, resolved, with a CRC32 of each member's part
+bytes     chunks decoded once more, each behind its window, in rows of bounded size, with a CRC32 of each
+          member's part
 verify    the parts' CRC32s combined per member and compared with the trailers
 
 Files must be readable by path on all executors (a local or mounted path, or a URI that pyarrow's
@@ -31,15 +33,17 @@ from pyspark.sql import functions as F
 from millrace.functions import splice
 from millrace.functions.checksums import combined
 from millrace.functions.framing import GzError, header
-from millrace.shared import drop_written, rows_a_batch, written
+from millrace.shared import drop_written, rows_a_batch, small_row_groups, written
 
 CHUNK = 4 << 20
 LEAST_CHUNK = 64 << 10
 FAN = 64
-#: So many chunks at a time go to Python where their bytes do.
+#: So many rows at a time go to Python where decoded bytes do.
 WIDE = 8
-#: places and sources are unsigned numbers of 32 and 16 bits, little-endian, those of the tail of 16 bits each.
-_SPEC = "path string, start_bit bigint, end_bit bigint, known boolean, bytes binary, places binary, sources binary, tail binary, tail_places binary, tail_sources binary, members array<struct<at:bigint,crc:bigint,isize:bigint>>, error string, tries int"
+#: A row of decoded bytes has at most so many; a chunk makes as many rows as it needs.
+ROW = 2 << 20
+#: tail_places and tail_sources are unsigned numbers of 16 bits, little-endian.
+_SPEC = "path string, start_bit bigint, end_bit bigint, known boolean, length bigint, tail binary, tail_places binary, tail_sources binary, error string, tries int"
 
 
 def opened(path: str):
@@ -130,22 +134,17 @@ def chains_in(chunks: DataFrame) -> DataFrame:
 
 
 def decoded(chunks: DataFrame) -> DataFrame:
-    kind = pa.struct([("at", pa.int64()), ("crc", pa.int64()), ("isize", pa.int64())])
-    types = {"path": pa.string(), "start_bit": pa.int64(), "end_bit": pa.int64(), "known": pa.bool_(), **dict.fromkeys(("bytes", "places", "sources", "tail", "tail_places", "tail_sources"), pa.binary()), "members": pa.list_(kind), "error": pa.string(), "tries": pa.int32()}
+    """What each chunk's stretch gives, so far as the windows behind it need it: its length, its tail, or an error."""
+    types = {"path": pa.string(), "start_bit": pa.int64(), "end_bit": pa.int64(), "known": pa.bool_(), "length": pa.int64(), **dict.fromkeys(("tail", "tail_places", "tail_sources"), pa.binary()), "error": pa.string(), "tries": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, stop, known, tries in zip(*(batch.column(c).to_pylist() for c in ("path", "start_bit", "end_bit", "known", "tries"))):
                 base = start // 8
-                got = splice.decode(read_range(path, base, None if stop is None else -(-stop // 8)), start, stop, known, base)
+                got = splice.decode(read_range(path, base, None if stop is None else -(-stop // 8)), start, stop, known, base, splice.WINDOW)
                 row = {"path": path, "start_bit": start, "end_bit": stop, "known": known, "error": got.error, "tries": tries}
                 if not got.error:
-                    from_ = max(0, len(got.data) - splice.WINDOW)
-                    k = int(np.searchsorted(got.places, from_))
-                    row |= {"bytes": got.data, "places": got.places.astype("<u4").tobytes(), "sources": got.sources.astype("<u2").tobytes(), "tail": got.data[from_:]}
-                    row |= {"tail_places": (got.places[k:] - from_).astype("<u2").tobytes(), "tail_sources": got.sources[k:].astype("<u2").tobytes()}
-                    row["members"] = [{"at": at, "crc": crc, "isize": n} for at, crc, n in got.members]
-                del got
+                    row |= {"length": got.length, "tail": got.data, "tail_places": got.places.astype("<u2").tobytes(), "tail_sources": got.sources.astype("<u2").tobytes()}
                 yield pa.RecordBatch.from_arrays([pa.array([row.get(c)], t) for c, t in types.items()], names=list(types))
 
     return chunks.mapInArrow(run, _SPEC)
@@ -153,7 +152,7 @@ def decoded(chunks: DataFrame) -> DataFrame:
 
 def speculated(spark: SparkSession, paths: list[str], chunk_size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """The chunk table, all chunks proven, and path, dropped: how many of a file's starts were dropped as false.
-    Rounds work on a narrow table of one row per chunk, for all files at once; decoded bytes are written once per
+    Rounds work on a narrow table of one row per chunk, for all files at once; tails are written once per
     attempt."""
     chunk_size = max(chunk_size, LEAST_CHUNK)
     files = _extents(spark, paths)
@@ -212,7 +211,7 @@ def speculated(spark: SparkSession, paths: list[str], chunk_size: int = CHUNK) -
         live = written(marks.withColumn("until", until).where("to IS NULL AND (until IS NULL OR start_bit >= until)").select(names), "live")
         todo = spans.select("path", "start_bit", "end_bit", "known", F.col("tries").cast("int").alias("tries"))
     numbered = live.select("path", "start_bit", far.alias("_end"), (F.row_number().over(order).cast("bigint") - 1).alias("chunk_id"))
-    # one narrow row per chunk is broadcast, so that the bytes stay where they are
+    # one narrow row per chunk is broadcast, so that the tails stay where they are
     spec = attempts.where("error IS NULL").drop("error", "tries", "known").withColumn("_end", far).join(F.broadcast(numbered), ["path", "start_bit", "_end"])
     return spec.drop("_end"), dropped.groupBy("path").agg(F.sum("dropped").alias("dropped"))
 
@@ -274,29 +273,46 @@ def windows(spec: DataFrame) -> DataFrame:
 
 
 def parallel_files(spark: SparkSession, paths: list[str], chunk_size: int = CHUNK, mode: str = "FAILFAST") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """gz_bytes (path, seq, bytes) of all files by the same jobs, the members with their checks, and path, dropped: the
-    number of false starts. In mode FAILFAST a member whose CRC32 or length is not that of its trailer is an error,
-    else its row says so."""
+    """gz_bytes (path, seq, bytes) of all files by the same jobs, with the chunk_id each row is of, the members with their
+    checks, and path, dropped: the number of false starts. In mode FAILFAST a member whose CRC32 or length is not that of
+    its trailer is an error, else its row says so."""
     spec, dropped = speculated(spark, paths, chunk_size)
     dropped = written(dropped, "dropped")
-    whole = spec.select("path", "chunk_id", "bytes", "places", "sources", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.struct([("ends", pa.bool_()), ("crc", pa.int64()), ("length", pa.int64()), ("expected", pa.int64()), ("isize", pa.int64())])
+
+        def row(path: str, seq: int, k: int, raw: bytes, pieces: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([seq], pa.int64()), pa.array([k], pa.int64()), pa.array([raw], pa.binary()), pa.array([pieces], pa.list_(piece))], names=["path", "seq", "chunk_id", "bytes", "pieces"])
+
         for batch in batches:
-            for path, k, data, ends, window, places, sources in zip(*(batch.column(c) for c in ("path", "chunk_id", "bytes", "members", "window")), _column(batch.column("places"), "<u4"), _column(batch.column("sources"), "<u2")):
-                raw = splice.resolved(data.as_py(), places, sources, window.as_py())
-                at, pieces = 0, []
-                for e in ends.as_py():
-                    pieces.append({"ends": True, "crc": zlib.crc32(raw[at : e["at"]]), "length": e["at"] - at, "expected": e["crc"], "isize": e["isize"]})
-                    at = e["at"]
-                pieces.append({"ends": False, "crc": zlib.crc32(raw[at:]), "length": len(raw) - at, "expected": None, "isize": None})
-                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([k.as_py()], pa.int64()), pa.array([raw], pa.binary()), pa.array([pieces], pa.list_(piece))], names=["path", "seq", "bytes", "pieces"])
-
-    schema = "path string, seq bigint, bytes binary, pieces array<struct<ends:boolean,crc:bigint,length:bigint,expected:bigint,isize:bigint>>"
+            for path, k, start, stop, seq, window in zip(*(batch.column(c).to_pylist() for c in ("path", "chunk_id", "start_bit", "end_bit", "seq", "window"))):
+                base = start // 8
+                data = read_range(path, base, None if stop is None else -(-stop // 8))
+                held, crc, length, pieces = bytearray(), 0, 0, []
+                for raws, trailer in splice.streamed(data, start, stop, [window or None], base):
+                    if trailer:
+                        pieces.append({"ends": True, "crc": crc, "length": length, "expected": trailer[0], "isize": trailer[1]})
+                        crc = length = 0
+                        continue
+                    held += raws[0]
+                    crc, length = zlib.crc32(raws[0], crc), length + len(raws[0])
+                    while len(held) > ROW:
+                        yield row(path, seq, k, bytes(held[:ROW]), [])
+                        del held[:ROW]
+                        seq += 1
+                pieces.append({"ends": False, "crc": crc, "length": length, "expected": None, "isize": None})
+                yield row(path, seq, k, bytes(held), pieces)
+
+    schema = "path string, seq bigint, chunk_id bigint, bytes binary, pieces array<struct<ends:boolean,crc:bigint,length:bigint,expected:bigint,isize:bigint>>"
+    # a chunk's last row has its pieces; one without bytes makes a row too
+    n = F.greatest(F.lit(1), F.ceil(F.col("length") / ROW))
+    before = Window.partitionBy("path").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = spec.select("path", "chunk_id", "start_bit", "end_bit", F.coalesce(F.sum(n).over(before), F.lit(0)).alias("seq"))
     with rows_a_batch(spark, WIDE):
-        both = whole.join(written(windows(spec), "windows"), ["path", "chunk_id"])
-        out = written(both.mapInArrow(run, schema), "bytes")
+        both = chunks.join(written(windows(spec), "windows"), ["path", "chunk_id"])
+    with rows_a_batch(spark, WIDE), small_row_groups(spark, WIDE):
+        out = written(both.repartition(_tasks(spark, spec.count()), "path", "chunk_id").mapInArrow(run, schema), "bytes")
     parts = out.select("path", "seq", F.posexplode("pieces").alias("i", "p")).select("path", "seq", "i", "p.*")
     order = Window.partitionBy("path").orderBy("seq", "i")
     numbered = parts.withColumn("member_index", F.coalesce(F.sum(F.col("ends").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -314,7 +330,7 @@ def parallel_files(spark: SparkSession, paths: list[str], chunk_size: int = CHUN
         if bad:
             raise GzError("IsizeMismatch" if bad["crc_ok"] else "CrcMismatch", f"member {bad['member_index']} of {bad['path']}")
     drop_written(spec)
-    return out.select("path", "seq", "bytes"), members, dropped
+    return out.select("path", "seq", "bytes", "chunk_id"), members, dropped
 
 
 def parallel_bytes(spark: SparkSession, path: str, chunk_size: int = CHUNK, mode: str = "FAILFAST") -> tuple[DataFrame, DataFrame, int]:
@@ -325,7 +341,7 @@ def parallel_bytes(spark: SparkSession, path: str, chunk_size: int = CHUNK, mode
 
 def parallel_stats(out: DataFrame, members: DataFrame, failures: int | DataFrame) -> DataFrame:
     """path, uncompressed_bytes, chunks_decoded, members, speculation_failures of what parallel_bytes or parallel_files gave."""
-    sizes = out.groupBy("path").agg(F.sum(F.length("bytes")).alias("uncompressed_bytes"), F.count(F.lit(1)).alias("chunks_decoded"))
+    sizes = out.groupBy("path").agg(F.sum(F.length("bytes")).alias("uncompressed_bytes"), F.count_distinct("chunk_id").alias("chunks_decoded"))
     sizes = sizes.join(members.groupBy("path").agg(F.count(F.lit(1)).alias("members")), "path")
     if isinstance(failures, int):
         return sizes.withColumn("speculation_failures", F.lit(failures).cast("bigint"))

@@ -68,3 +68,19 @@ def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, str(before))
+
+
+@contextmanager
+def small_row_groups(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written within this has so many rows in a row group: for wide rows, of which Parquet's writer else holds
+    100 before it looks at their size, and its readers a whole group at once. zstd, unlike Snappy, decodes them without
+    buffers outside the heap."""
+    settings = {"parquet.block.row.count.limit": rows, "parquet.page.size.row.check.min": 1, "spark.sql.parquet.compression.codec": "zstd", "parquet.compression.codec.zstd.level": 1}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

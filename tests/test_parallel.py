@@ -1,15 +1,19 @@
 import gzip
 import random
 import subprocess
+import tracemalloc
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import framing, splice
 from millrace.functions.framing import GzError
 from millrace.operators import fixtures, members
+from millrace.plans import parallel
 from millrace.plans.parallel import parallel_bytes
 from millrace.plans.reader import large_members, read_gz
 
@@ -204,3 +208,64 @@ def test_one_member_from_many_tasks(spark, tmp_path):
     with open(fixtures.whole_file(out, str(tmp_path)), "rb") as f:
         assert f.read() == want
     assert sorted(r["value"] for r in fixtures.joined_lines(out).collect()) == sorted(want.decode().splitlines())
+
+
+def test_a_chunk_makes_rows_of_bounded_size(spark, tmp_path):
+    """A chunk of 64 KiB that decodes to several rows: none is longer than 2 MiB, few are in a row group, and lines run over
+    the rows' borders."""
+    line = words(900, 11).replace(b"\n", b" ")
+    raw = b"".join(b"%d %s\n" % (i, line[i % 7 :]) for i in range(24_000))
+    (tmp_path / "x.gz").write_bytes(framing.compressed(raw, 9))
+    out, members, failures = parallel_bytes(spark, str(tmp_path / "x.gz"), 64 << 10)
+    rows = sorted((r["seq"], bytes(r["bytes"])) for r in out.collect())
+    stats = parallel.parallel_stats(out, members, failures).first()
+    assert b"".join(x for _, x in rows) == raw and [k for k, _ in rows] == list(range(len(rows)))
+    assert max(len(x) for _, x in rows) <= 2 << 20
+    assert 1 < stats["chunks_decoded"] < len(rows) and stats["uncompressed_bytes"] == len(raw)
+    assert members.first()["crc_ok"] and members.first()["raw_length"] == len(raw)
+    written = [pq.ParquetFile(urlparse(f).path).metadata for f in out.inputFiles()]
+    assert max(m.row_group(i).num_rows for m in written for i in range(m.num_row_groups)) <= parallel.WIDE
+    assert sorted(r["value"] for r in fixtures.joined_lines(out).collect()) == sorted(raw.decode().splitlines())
+
+
+def test_what_is_held_does_not_grow_with_what_is_decoded():
+    raw = b"all the same " * 5_000_000
+    data = raw_deflate(raw)
+    tracemalloc.start()
+    chunk = splice.decode(data + b"12345678", 0, None, True, last=splice.WINDOW)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert chunk.error is None and chunk.length == len(raw) and chunk.data == raw[-splice.WINDOW :]
+    assert most < 8 << 20 < len(raw)
+
+
+@pytest.mark.parametrize("fed,piece", [(3, 1), (64, 50), (1000, 40_000)])
+def test_pieces_of_any_size_come_together(monkeypatch, fed, piece):
+    """Members, window and end of a stretch, wherever slices of it are cut."""
+    monkeypatch.setattr(splice, "FED", fed)
+    monkeypatch.setattr(splice, "PIECE", piece)
+    parts = [words(200_000), b"x", b"", words(3000)]
+    data = b"".join(map(framing.compressed, parts))
+    body = framing.header(data)[0]
+    assert splice.decode(data, 8 * body, None, True).error is None
+    middle = splice.find_block(data, 8 * (body + 20_000), 8 * len(data))
+    first, rest = splice.decode(data, 8 * body, middle, True), splice.decode(data, middle, None, False)
+    window = first.data[-splice.WINDOW :]
+    assert first.data + splice.resolved(rest.data, rest.places, rest.sources, window) == b"".join(parts)
+    assert [at + first.length for at, _, _ in rest.members] == np.cumsum([len(x) for x in parts]).tolist()
+    # behind its window it is decoded at once, and its last bytes are those of the whole
+    known = b"".join(raws[0] for raws, trailer in splice.streamed(data, middle, None, [window]) if not trailer)
+    end = splice.decode(data, middle, None, False, last=1000)
+    assert first.data + known == b"".join(parts) and end.data == rest.data[-1000:] and end.length == len(rest.data)
+    assert end.places.tolist() == [k - len(rest.data) + 1000 for k in rest.places.tolist() if k >= len(rest.data) - 1000]
+    with pytest.raises(GzError, match="Deflate"):
+        list(splice.streamed(data, middle, None, [window[-10:]]))
+    assert splice.decode(data, 8 * body, middle + 5, True).error
+
+
+def test_lines_over_odd_rows(spark):
+    """Line ends at rows' borders, rows without one, characters and bytes cut apart."""
+    texts = {"a": ["é\n".encode()[:1], "é\nb".encode()[1:], b"c", b"", b"\n", b"\n\nd\ne\xc3", b"\xa4"], "b": [b"", b""], "c": [b"\n"], "d": [b"x\n", b"y\n"], "e": [b"\nlast"]}
+    rows = [(path, seq, bytearray(part)) for path, parts in texts.items() for seq, part in enumerate(parts)]
+    got = fixtures.joined_lines(spark.createDataFrame(rows, "path string, seq bigint, bytes binary")).collect()
+    assert sorted(map(tuple, got)) == sorted((path, x) for path, parts in texts.items() for x in b"".join(parts).decode().splitlines())
